@@ -5,10 +5,46 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, simhash, toxicity
+from . import bpe, exact, lines, mixing, simhash, syncmers, tokens, toxicity, urls, warc
 from .shared import table
 
 
+#: (verdict, host and path prefix)
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op1_url_filter(spark, sf_dir):
+    """Outcomes: the label of the same number marks a page; good is of quality and not toxic."""
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "page_id")
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    out = urls.judge(table(spark, sf_dir, "pages"), labels, good, URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "n")
+
+
+def op3_line_dedup(spark, sf_dir):
+    out = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+
+
+def op4_syncmers(spark, sf_dir):
+    return syncmers.with_next(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark, sf_dir):
+    return tokens.count_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op9_warc(spark, sf_dir):
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.digest_table(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -41,5 +77,8 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    found = [op2_bpe, op6_mixing, op7_exact_dedup, op8_simhash, op10_toxicity, pipeline]
+    found = [
+        op1_url_filter, op2_bpe, op3_line_dedup, op4_syncmers, op5_token_counts, op6_mixing, op7_exact_dedup, op8_simhash,
+        op9_warc, op10_toxicity, pipeline,
+    ]
     return {f.__name__: f for f in found}

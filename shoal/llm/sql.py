@@ -2,6 +2,129 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+with p as (
+  select page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages),
+marks as (
+  select doc_id as page_id, min(case when quality = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end) as good
+  from labels where doc_id is not null and quality is not null group by doc_id),
+h as (
+  select host, regexp_extract(host, '([^.]*\.)?[^.]*$') as domain, regexp_extract(host, '[^.]*$') as suffix,
+    count(good) as n, coalesce(sum(good), 0)::bigint as k
+  from p left join marks using (page_id) group by host),
+d as (select domain, suffix, sum(n)::bigint as dn, sum(k)::bigint as dk from h group by all),
+s as (select suffix, sum(dn)::bigint as sn, sum(dk)::bigint as sk from d group by all),
+dd as (select d.*, sn from d join s using (suffix)),
+hh as (select h.*, dn from h join d using (domain)),
+m as (
+  select n, k, case when n > 0 then k / n else 1.0::double end as rate, sa, sb, sc, da, db, dc, ha, hb, hc
+  from (select coalesce(sum(sn), 0)::double as n, coalesce(sum(sk), 0)::double as k from s),
+    (select coalesce(sum((sk::double * sk / sn)::decimal(38, 9)), 0)::double as sa,
+      coalesce(sum((sn::double * sn / (select sum(sn)::double from s))::decimal(38, 9)), 0)::double as sb,
+      count(*)::double as sc from s where sn > 0),
+    (select coalesce(sum((dk::double * dk / dn)::decimal(38, 9)), 0)::double as da,
+      coalesce(sum((dn::double * dn / sn)::decimal(38, 9)), 0)::double as db, count(*)::double as dc from dd where dn > 0),
+    (select coalesce(sum((k::double * k / n)::decimal(38, 9)), 0)::double as ha,
+      coalesce(sum((n::double * n / dn)::decimal(38, 9)), 0)::double as hb, count(*)::double as hc from hh where n > 0)),
+ms as (
+  select *, (sa - k * rate) / (sc - 1) as s_between, (k - sa) / (n - sc) as s_within, (n - sb) / (sc - 1) - 1 as s_size,
+    (da - sa) / (dc - sc) as d_between, (k - da) / (n - dc) as d_within, (n - db) / (dc - sc) - 1 as d_size,
+    (ha - da) / (hc - dc) as h_between, (k - ha) / (n - hc) as h_within, (n - hb) / (hc - dc) - 1 as h_size from m),
+rho as (
+  select rate,
+    case when sc > 1 and n > sc and s_between + s_size * s_within > 0
+      then (s_between - s_within) / (s_between + s_size * s_within) else 0 end as rs,
+    case when dc > sc and n > dc and d_between + d_size * d_within > 0
+      then (d_between - d_within) / (d_between + d_size * d_within) else 0 end as rd,
+    case when hc > dc and n > hc and h_between + h_size * h_within > 0
+      then (h_between - h_within) / (h_between + h_size * h_within) else 0 end as rh from ms),
+prior as (
+  select rate, 1 / least(greatest(rs, 0.001::double), 0.5::double) - 1 as ms,
+    1 / least(greatest(rd, 0.001::double), 0.5::double) - 1 as md,
+    1 / least(greatest(rh, 0.001::double), 0.5::double) - 1 as mh from rho),
+rates as (
+  select host, n, k, mh,
+    (md * ((ms * rate + sk) / (ms + sn)) + dk) / (md + dn) as drate
+  from h join d using (domain, suffix) join s using (suffix), prior),
+post as (select host, n, mh * drate + k as a, mh * (1 - drate) + n - k as b from rates),
+upper as (select host, n, a / (a + b) + 1.64::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as upper from post),
+rules(verdict, rule, own, prefix) as (values
+  ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+  ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'),
+  ('block', 'net/fr/', 'net', '/fr/')),
+fit as (
+  select page_id, arg_max(rule, length(rule)) as rule, arg_max(r.verdict, length(rule)) as verdict
+  from p join rules r on (p.host = own or ends_with(p.host, '.' || own)) and starts_with(p.path, prefix) group by page_id)
+select p.page_id, p.host, p.path, fit.rule,
+  coalesce(fit.verdict, case when upper < 0.5 then 'block' else 'allow' end) as verdict, upper.n
+from p left join upper using (host) left join fit using (page_id)
+"""
+
+OP3 = """
+with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i, len(l) as m from d),
+hashed as (select *, ('0x' || substr(md5(line), 1, 10))::bigint as h from lines),
+ended as (
+  select *, i = m - 1 or (i >= 1 and (h + 257 * lag(h) over (partition by doc_id order by i)) % 3 = 0) as fin from hashed),
+numbered as (
+  select *, coalesce(sum(fin::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as num
+  from ended),
+chunks as (select doc_id, num, string_agg(line, chr(10) order by i) as c, count(*) as n from numbered group by all),
+marked as (
+  select *, n > 1 and regexp_matches(c, '[^ \\t\\n\\x0B\\f\\r]')
+    and row_number() over (partition by c, n > 1 order by doc_id, num) > 1 as gone from chunks),
+kept as (
+  select doc_id, string_agg(c, chr(10) order by num) filter (where not gone) as t, sum(n)::bigint as n_lines,
+    coalesce(sum(n) filter (where gone), 0)::bigint as n_removed from marked group by doc_id)
+select doc_id, case when text is null then 0 else n_lines end as n_lines, n_removed,
+  case when text is null then null else coalesce(t, '') end as text
+from d join kept using (doc_id)
+"""
+
+OP6 = r"""
+with d as (
+  select doc_id, coalesce('s' || source, 't') as skey,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5(concat_ws(':', '7', coalesce(cast(doc_id as varchar), ''), md5(coalesce(text, '')))), 1, 15))::bigint as h
+  from documents),
+s as (select skey, sum(size)::bigint as source_size, row_number() over (order by skey) as n from d group by skey),
+w as (select *, (n - 1) % 3 + 1 as weight, source_size * 3 as cap from s),
+f as (
+  select *, sum(source_size) over () as total, sum(weight) over () as all_weight,
+    coalesce(sum(cap) over (order by cap::double / weight, skey rows between unbounded preceding and 1 preceding), 0) as spent,
+    coalesce(sum(weight) over (order by cap::double / weight, skey rows between unbounded preceding and 1 preceding), 0) as used from w),
+l as (select *, max((total - spent)::double / (all_weight - used)::double) over () as level from f),
+goal as (
+  select skey, n, source_size, total::bigint as total, least(cap::double, level * weight) as target,
+    floor(total::double / 16 + 0.5) as house, ceil(source_size::double / 16)::bigint as blocks from l),
+b as (select *, floor(case when total > 0 then target * house / total::double else 0 end + 0.5)::bigint as base from goal),
+g as (select *, (house - sum(base) over ())::bigint as gap from b),
+up as (
+  select skey, row_number() over (order by target / (2 * k + 1) desc, n, k) as rank, gap
+  from (select *, unnest(range(base, base + greatest(gap, 0))) as k from g)),
+down as (
+  select skey, row_number() over (order by target / (2 * k + 1), n desc, k desc) as rank, gap
+  from (select *, unnest(range(greatest(base + least(gap, 0), 0), base)) as k from g where gap < 0)),
+moves as (
+  select skey, count(*) as plus, 0 as minus from up where rank <= gap group by skey
+  union all select skey, 0, count(*) from down where rank <= -gap group by skey),
+seats as (
+  select g.skey, any_value(source_size) as source_size, any_value(target) as target, any_value(blocks) as blocks,
+    least(any_value(base) + coalesce(sum(plus), 0) - coalesce(sum(minus), 0), 3 * any_value(blocks))::bigint as seats
+  from g left join moves on g.skey = moves.skey group by g.skey),
+run as (
+  select *, case when blocks > 0 then seats // blocks else 0 end as copies,
+    case when blocks > 0 then seats % blocks else 0 end * 16 as run from seats),
+pos as (select *, sum(size) over (partition by skey order by h, doc_id, size rows between unbounded preceding and current row) - size as pos from d)
+select doc_id, size, source_size, target,
+  (copies * size + greatest(0, least(size, run - pos)))::bigint as taken
+from pos join run using (skey)
+"""
+
 OP7 = """
 with d as (select doc_id, sha256(coalesce(text, '')) as h from documents),
 g as (select h, max(doc_id) as keep_id, count(*) as group_size from d group by h)
@@ -9,4 +132,19 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, h as text_sha256
 from d join g using (h)
 """
 
-ORACLE_SQL = {"op7_exact_dedup": OP7}
+OP9 = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+best as (select payload_digest, max(page_id) as best from p where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+  case when page_id <> best then 'revisit' else 'response' end as record_type,
+  case when page_id <> best then best end as refers_to
+from p left join best using (payload_digest)
+"""
+
+ORACLE_SQL = {
+    "op1_url_filter": OP1,
+    "op3_line_dedup": OP3,
+    "op6_mixing": OP6,
+    "op7_exact_dedup": OP7,
+    "op9_warc": OP9,
+}

@@ -1 +1 @@
-"""A Spark-native engine for searching and maintaining large catalogs of files and documents."""
+"""Search, hierarchy, incremental maintenance and content search over DataFrames."""

@@ -1 +1 @@
-"""A Spark-native engine for searching and maintaining large catalogs of files and documents."""
+"""The query language: parser and compiler to DataFrame expressions."""

@@ -1 +1 @@
-"""A Spark-native engine for searching and maintaining large catalogs of files and documents."""
+"""Readers and writers: catalogs, file lists, snapshots, documents."""

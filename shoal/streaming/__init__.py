@@ -1 +1 @@
-"""A Spark-native engine for searching and maintaining large catalogs of files and documents."""
+"""Structured Streaming pipelines over change journals and directory changes."""

@@ -60,6 +60,13 @@ class Catalog:
     def from_df(cls, rows: DataFrame, **kw) -> "Catalog":
         return cls(rows, **kw)
 
+    @classmethod
+    def from_efu(cls, spark, path: str, **kw) -> "Catalog":
+        """A file list to search instead of the live catalog."""
+        from shoal.sources import efu
+
+        return cls(efu.read(spark, path), **kw)
+
     def parse(self, text: str) -> Query:
         return parse(text, self.now, self.tz, self.first)
 

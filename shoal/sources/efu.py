@@ -24,7 +24,7 @@ BOM = "﻿"
 def _number(value: Column, kind: str) -> Column:
     """The digits that a field begins with; 0 without any."""
     digits = F.regexp_extract(value, r"^([0-9]+)", 1)
-    return F.coalesce(F.when(F.length(digits) <= 18, digits.cast(kind)), F.lit(0).cast(kind))
+    return F.coalesce(F.when(F.length(digits) <= 18, digits.try_cast(kind)), F.lit(0).cast(kind))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -197,7 +197,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         & (rows["__md5"] == plan["__md5"])
         & rows["source"].eqNullSafe(plan["__source"])
     )
-    rows = rows.join(plan.withColumnsRenamed({}), match).drop(plan["__id"]).drop(plan["__md5"])
+    rows = rows.join(plan, match).drop(plan["__id"]).drop(plan["__md5"])
     whole = F.array_repeat(F.lit(-1).cast("long"), F.col("__copies").cast("int"))
     tail = F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("__take", F.explode(F.concat(whole, tail)))

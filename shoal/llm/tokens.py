@@ -17,7 +17,8 @@ an empty result.
 from __future__ import annotations
 
 import os
-from functools import cache
+import uuid
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,8 +105,9 @@ def frequent_pretokens(docs: DataFrame, path: str, pattern: str) -> tuple[list[s
     return short, bytes(c.lengths[p] for p in short)
 
 
-@cache
-def _worker_counter(path: str, pattern: str, key: int) -> list:
+@lru_cache(maxsize=1)
+def _worker_counter(path: str, pattern: str, key: str) -> list:
+    """Where a worker keeps its counter from one task of a query to the next."""
     return []
 
 
@@ -113,9 +115,10 @@ def count_table(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) ->
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, path, pattern))
+    key = uuid.uuid4().hex
 
     def run(batches):
-        held = _worker_counter(path, pattern, sent.id if hasattr(sent, "id") else 0)
+        held = _worker_counter(path, pattern, key)
         if not held:
             held.append(Counter(path, pattern, sent.value))
         c = held[0]

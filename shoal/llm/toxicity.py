@@ -33,7 +33,7 @@ from .shared import arrow_map, row_hash, text_or_empty, texts_of
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 SAMPLE = 1200
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 20_000
 FEATURES = 4000
 PENALTY = 2.0
 _PRIME = np.uint64(0x9E3779B97F4A7C15)

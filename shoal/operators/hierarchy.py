@@ -31,6 +31,12 @@ def with_child_facts(catalog: DataFrame, counts: bool = True, flags: dict[str, C
     return catalog.join(facts, F.col("id") == F.col("__parent"), "left").drop("__parent")
 
 
+def _recursive(spark, text: str) -> DataFrame:
+    """A recursive query without a limit on its rows; its levels are limited by the text."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(text)
+
+
 def derive_paths(nodes: DataFrame, root_id: int, root_path: str) -> DataFrame:
     """id, path of every node but the root, from (id, parent_id, name).
 
@@ -45,7 +51,8 @@ def derive_paths(nodes: DataFrame, root_id: int, root_path: str) -> DataFrame:
     lost = lost.select("id", F.concat(F.lit(f"{root_path}\\{ORPHANS}\\"), "name").alias("path"))
     plain.createOrReplaceTempView("shoal_nodes")
     top.union(lost).createOrReplaceTempView("shoal_seeds")
-    found = spark.sql(
+    found = _recursive(
+        spark,
         f"""with recursive walk(id, path) max recursion level {MAX_DEPTH} as (
               select id, path from shoal_seeds
               union all
@@ -61,7 +68,8 @@ def descendants(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     nodes.select("id", "parent_id").createOrReplaceTempView("shoal_tree")
     changed.select("id").distinct().createOrReplaceTempView("shoal_changed")
-    return spark.sql(
+    return _recursive(
+        spark,
         f"""with recursive below(id, top) max recursion level {MAX_DEPTH} as (
               select id, id from shoal_changed
               union all

@@ -1,8 +1,9 @@
 """Keeping a catalog up to date: deltas, journals, metadata, compaction.
 
 A catalog is a base and the changes since.  Reading merges them; compaction writes the
-merged view as a new generation.  Change journals are folded with windows over each file's
-changes, so a batch of any size is a few shuffles by file id.
+merged view as a new generation.  What a journal amounts to is a map-side aggregation by file;
+what each of its changes did needs their order, which is taken within stretches of the
+journal and then over the stretches, so that a file with a third of all changes is no one's task.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from shoal.operators.hierarchy import descendants
 
 #: Changes after which a base is rewritten.
 COMPACT_AFTER = 100_000
+#: Changes whose numbers agree but for so many bits are one stretch of a journal.
+STRETCH_BITS = 12
 
 
 def last_by_id(rows: DataFrame, order: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Of rows with equal keys, the one with the greatest ``order``."""
-    newest = W.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
+    """Of rows with equal keys, the one with the greatest ``order``; map-side first."""
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("__best"))
+    return best.select("__best.*")
 
 
 def apply_delta(base: DataFrame, upserts: DataFrame, removed: DataFrame) -> DataFrame:
@@ -62,6 +65,12 @@ def _has(bits: int) -> Column:
     return F.col("reason").bitwiseAND(bits) != 0
 
 
+def with_kind(changes: DataFrame) -> DataFrame:
+    """kind of each change, and sets: 1 if the file lives after it, 0 if not, null if it says nothing."""
+    kind = F.when(_has(RENAME_OLD), "old").when(_has(DELETE), "delete").when(_has(CREATE) | _has(RENAME_NEW), "name").otherwise("touch")
+    return changes.withColumn("kind", kind).withColumn("sets", F.when(F.col("kind") == "delete", 0).when(F.col("kind") == "name", 1))
+
+
 def classify(base: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """Each change with its outcome: created, updated, renamed, deleted, ignored or remembered.
 
@@ -71,12 +80,15 @@ def classify(base: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("file
     from the base.
     """
     known = base.select(F.col("id").alias("file_id"), *[k for k in keys if k != "file_id"]).withColumn("in_base", F.lit(1))
-    kind = F.when(_has(RENAME_OLD), "old").when(_has(DELETE), "delete").when(_has(CREATE) | _has(RENAME_NEW), "name").otherwise("touch")
-    rows = changes.join(known, list(keys), "left").withColumn("kind", kind)
-    sets = F.when(F.col("kind") == "delete", 0).when(F.col("kind") == "name", 1)
-    before = W.partitionBy(*keys).orderBy("usn").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("sets", sets)
-    rows = rows.withColumn("lived", F.coalesce(F.last("sets", ignorenulls=True).over(before), F.col("in_base"), F.lit(0)))
+    rows = with_kind(changes).withColumn("stretch", F.shiftright("usn", STRETCH_BITS))
+    last = rows.groupBy(*keys, "stretch").agg(F.max_by("sets", F.when(F.col("sets").isNotNull(), F.col("usn"))).alias("end"))
+    last = last.join(known, list(keys), "left")
+    earlier = W.partitionBy(*keys).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    last = last.withColumn("start", F.coalesce(F.last("end", ignorenulls=True).over(earlier), F.col("in_base"), F.lit(0)))
+    before = W.partitionBy(*keys, "stretch").orderBy("usn").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("within", F.last("sets", ignorenulls=True).over(before))
+    rows = rows.join(last.select(*keys, "stretch", "start"), [*keys, "stretch"])
+    rows = rows.withColumn("lived", F.coalesce("within", "start"))
     outcome = (
         F.when(F.col("kind") == "old", "remembered")
         .when((F.col("kind") == "delete") & (F.col("lived") == 1), "deleted")
@@ -85,7 +97,7 @@ def classify(base: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("file
         .when(_has(RENAME_NEW) & (F.col("kind") == "name"), "renamed")
         .otherwise("updated")
     )
-    return rows.withColumn("outcome", outcome).drop("in_base")
+    return rows.withColumn("outcome", outcome).drop("stretch", "within", "start")
 
 
 def unmatched_renames(classified: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
@@ -114,18 +126,22 @@ def fold_changes(base: DataFrame, changes: DataFrame, reset_metadata: bool = Tru
     change that counted.  Sizes and times of changed files are unknown (0) unless
     ``reset_metadata`` is off; those of a file created anew always are.
     """
-    rows = classify(base, changes).filter("outcome not in ('ignored', 'remembered')")
-    last = W.partitionBy("file_id").orderBy("usn").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    named = lambda c: F.last(F.when(F.col("kind") == "name", F.col(c)), ignorenulls=True).over(last)
-    state = rows.select(
-        F.col("file_id").alias("id"),
-        F.last("sets", ignorenulls=True).over(last).alias("lives"),
-        named("name").alias("new_name"),
-        named("parent_id").alias("new_parent"),
-        F.last("attributes").over(last).alias("new_attributes"),
-        F.max(F.when(F.col("outcome") == "created", 1)).over(last).alias("anew"),
-        F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("usn"))).alias("n"),
-    ).filter("n = 1").drop("n")
+    # With the last word on a file, all changes since count: the last naming, or the base.
+    def when(kind: str) -> Column:
+        return F.when(F.col("kind") == kind, F.col("usn"))
+
+    rows = with_kind(changes)
+    state = rows.groupBy(F.col("file_id").alias("id")).agg(
+        F.max_by("sets", F.when(F.col("sets").isNotNull(), F.col("usn"))).alias("lives"),
+        F.max_by("name", when("name")).alias("new_name"),
+        F.max_by("parent_id", when("name")).alias("new_parent"),
+        F.max_by("attributes", F.when(F.col("kind") != "old", F.col("usn"))).alias("new_attributes"),
+        F.max(when("delete")).alias("gone"),
+        F.count_if(F.col("kind") != "old").alias("counted"),
+    )
+    state = state.join(base.select("id", F.lit(1).alias("in_base")), "id", "left").filter("lives is not null or (in_base = 1 and counted > 0)")
+    anew = F.col("in_base").isNull() | F.col("gone").isNotNull()
+    state = state.withColumn("anew", F.when(anew, 1)).drop("in_base", "gone", "counted")
     removed = state.filter("lives = 0").select("id")
     live = state.filter("coalesce(lives, 1) = 1").join(base, "id", "left")
     unknown = F.lit(reset_metadata) | F.col("anew").isNotNull()

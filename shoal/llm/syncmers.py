@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, text_or_empty, texts_of, written
 
-K, S, SKETCH = 24, 8, 128
+K, S, SKETCH = 12, 4, 128
 #: Characters that are hashed at a time; neighbours overlap by a k-mer.
 BLOCK = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

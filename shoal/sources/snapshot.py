@@ -10,7 +10,7 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 
@@ -161,3 +161,35 @@ def load_searches(text: str) -> list[SavedSearch]:
 def remember(history: list[str], query: str, most: int = 100) -> list[str]:
     """A query history with the query in front, once."""
     return [query, *(q for q in history if q != query)][:most]
+
+
+def rebuild_reason(checkpoint: Checkpoint | None, journal: JournalState | None, volumes: set[str] = frozenset(), known: set[str] = frozenset()) -> str | None:
+    """Why a catalog must be built anew instead of followed; None if it need not."""
+    if checkpoint is None:
+        return "no_checkpoint"
+    if journal is None:
+        return "journal_unreadable"
+    if set(volumes) != set(known):
+        return "volumes_changed"
+    state = validate(checkpoint, journal)
+    return None if state == "valid" else state
+
+
+def replayable(log: DataFrame, cursor: DataFrame) -> DataFrame:
+    """The batches of a log that can be replayed: those after their volume's cursor, up to the
+    first gap.  ``log`` has volume, usn_start, usn_end; ``cursor`` has volume, next_usn.
+    Batches that were applied already are left out; one that was partly applied is a gap."""
+    rows = log.join(cursor, "volume").filter(F.col("usn_end") > F.col("next_usn"))
+    order = W.partitionBy("volume").orderBy("usn_start")
+    follows = F.col("usn_start") == F.coalesce(F.lag("usn_end").over(order), F.col("next_usn"))
+    rows = rows.withColumn("__follows", follows)
+    whole = F.bool_and("__follows").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("__whole", whole).filter("__whole").drop("__follows", "__whole", "next_usn")
+
+
+def should_consolidate(log_bytes: int, changes: int, seconds: float, volumes: int = 1) -> bool:
+    """Is it time to write a new generation?  One volume: by the size of its log; several: by
+    changes or time."""
+    if volumes == 1:
+        return log_bytes >= 64 << 20
+    return changes >= 100_000 or (changes > 0 and seconds >= 300)

@@ -225,3 +225,18 @@ def test_watched_content(spark):
     texts = spark.createDataFrame([("c", "red cat"), ("b", "blue hen"), ("d", "red dog")], "path string, text string")
     after = apply_watched(index, log, texts)
     assert {r.doc for r in after.matches("red").collect()} == {"c"} and after.documents.count() == 2
+
+
+def test_when_to_rebuild_and_consolidate():
+    c, j = snapshot.Checkpoint(7, 50), snapshot.JournalState(7, 10, 90)
+    assert snapshot.rebuild_reason(c, j) is None and snapshot.rebuild_reason(None, j) == "no_checkpoint"
+    assert snapshot.rebuild_reason(c, None) == "journal_unreadable" and snapshot.rebuild_reason(c, j, {"D"}, {"D", "E"}) == "volumes_changed"
+    assert snapshot.rebuild_reason(c, snapshot.JournalState(8, 10, 90)) == "journal_changed"
+    assert snapshot.should_consolidate(64 << 20, 0, 0) and not snapshot.should_consolidate(5, 10**6, 10**6)
+    assert snapshot.should_consolidate(0, 1, 300, 2) and not snapshot.should_consolidate(0, 0, 900, 2)
+
+
+def test_replay_stops_at_a_gap(spark):
+    log = spark.createDataFrame([("D", 0, 10), ("D", 10, 20), ("D", 20, 30), ("D", 31, 40), ("D", 40, 50), ("E", 5, 9)], "volume string, usn_start long, usn_end long")
+    cursor = spark.createDataFrame([("D", 10), ("E", 6)], "volume string, next_usn long")
+    assert sorted((r.volume, r.usn_start) for r in snapshot.replayable(log, cursor).collect()) == [("D", 10), ("D", 20)]

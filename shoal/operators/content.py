@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shoal.model import CONTENT_LIMIT
 from shoal.plans.content_query import TOKEN, Leaf, Op, Tree, leaves, parse, words
+from shoal.ship import ship
 
 #: BM25 parameters, and the length of a snippet in characters.
 K1, B, SNIPPET = 1.0, 0.5, 260
@@ -167,6 +168,7 @@ class ContentIndex:
                 f["highlights"] = [[{"start": a, "length": n} for a, n in m[1]] for m in made]
                 yield f[["doc", "shard", "relevance_percent", "snippet", "highlights"]]
 
+        ship(page.sparkSession)
         return page.mapInPandas(run, f"{schema}, snippet string, highlights array<struct<start:int,length:int>>")
 
 

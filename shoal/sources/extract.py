@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.functions.text import extension
+from shoal.ship import ship
 
 #: Extensions that are indexed (fixed values).
 SUPPORTED = (
@@ -145,6 +146,7 @@ def is_supported(path: Column) -> Column:
 def extract_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, text, size, last_write_time (ms), error of the supported files below a folder.
     Files over the limit are never read into memory."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.filter(is_supported(F.col("path")))
     small = files.filter(F.col("length") <= max_bytes)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.model import CATALOG, DIRECTORY, FILETIME_EPOCH, RECORD
+from shoal.ship import ship
 
 
 def _entries(root: str, errors: list[str]) -> Iterator[tuple]:
@@ -38,6 +39,7 @@ def _entries(root: str, errors: list[str]) -> Iterator[tuple]:
 def scan(spark: SparkSession, roots: list[str]):
     """(catalog, accumulator of the entries that could not be read).  The roots are not entries; links
     to folders are entries that are not entered.  One task walks each root."""
+    ship(spark)
     errors = spark.sparkContext.accumulator(0)
     schema = "path string, folder string, name string, directory boolean, size long, last_write_time long, creation_time long, last_access_time long, attributes int"
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shoal.model import CREATE, DELETE, RENAME_NEW, RENAME_OLD
+from shoal.ship import ship
 
 OUTCOME = "file_id long, usn long, outcome string"
 
@@ -47,5 +48,6 @@ def follow_outcomes(changes: DataFrame) -> DataFrame:
     grow with the journal.  Files that lived before the journal begins are made known by
     putting a creation of each, with a negative usn, in front of it.
     """
+    ship(changes.sparkSession)
     rows = changes.select("file_id", "usn", "reason")
     return rows.groupBy("file_id").applyInPandasWithState(_follow, OUTCOME, "lives boolean, seen long", "append", GroupStateTimeout.NoTimeout)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from shoal.ship import ship
+
 from .shared import text_or_empty, written
 
 BUCKET_KEYS = 1024
@@ -152,6 +154,7 @@ def find_groups(rows: DataFrame, history_until: int | None = None) -> DataFrame:
     """Groups of (doc_id, digest) rows.  Ids up to ``history_until`` (by default the
     middle of the range of ids) are the history that the index is built of; the
     others, and rows without an id, are the batch that is looked up."""
+    ship(rows.sparkSession)
     low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     if history_until is None:
         history_until = (low + high) // 2 if low is not None else 0

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoal.ship import ship
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Used only where the session names no shared folder, as in local tests.
@@ -62,6 +64,7 @@ def row_hash(seed: str, *cols: Column) -> Column:
 def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2000, **kw) -> DataFrame:
     """``mapInArrow`` with batches bounded in rows and bytes, so that a few very
     long texts do not make one huge batch."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))

@@ -3,8 +3,9 @@
 A document's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes ends a
 chunk where it is 0 modulo ``DIVISOR``.  Boundaries depend on nearby lines only, so
 lines inserted or removed elsewhere do not shift them, and a passage that two documents
-share is cut alike in both from its first boundary on.  A chunk of several lines whose
-bytes occur more than once in the corpus is removed everywhere but at its first place: the
+share is cut alike in both from its first boundary on.  A line of ``LONG`` words or more, a
+paragraph that was not wrapped, stands for several lines: it is a chunk of its own.  A chunk
+of several lines, or of a long one, whose bytes occur more than once in the corpus is removed everywhere but at its first place: the
 least doc_id that has it, and there its first occurrence.
 
 All of it is DataFrame operations.  Chunks are grouped by their own bytes, map-side
@@ -13,7 +14,7 @@ chunks then meet the repeated ones by SHA-256, without texts, and what a documen
 loses meets it in a join on a row key, where the document is rebuilt from its chunks.
 
 Defined cases: null text stays null; the empty text has one empty line; a chunk of a
-single line always stays, and so do chunks of blank lines only; null ids come after all
+single short line always stays, and so do chunks of blank lines only; null ids come after all
 others; rows that repeat id and text count as one document and get the same result, and
 rows of one id with other texts keep the chunk each if that id is the least; an empty table gives an empty result; other columns pass through ``without_repeats``.
 """
@@ -23,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import WORD, text_or_empty
 
 #: Lines that the rolling hash covers, and the mean number of lines of a chunk, about.
 WINDOW, DIVISOR = 2, 3
 BASE = 257
+#: Words from which on a single line counts as a passage.
+LONG = 50
 
 
 def line_hashes(lines: Column) -> Column:
@@ -35,27 +38,39 @@ def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 10), 16, 10).cast("long"))
 
 
+def is_long(line: Column) -> Column:
+    return (F.length(line) >= 2 * LONG - 1) & (F.regexp_count(line, F.lit(WORD)) >= LONG)
+
+
 def chunks_of(text: Column) -> Column:
-    """array of struct(n lines, chunk text): the chunks of a text, in order."""
+    """array of struct(n lines, chunk text, passage: several lines or a long one), in order."""
     lines = F.split(text, "\n", -1)
     hashes = line_hashes(lines)
 
     def rolled(i: Column, all_hashes: Column) -> Column:
         return F.pmod(sum(F.get(all_hashes, i - back) * BASE**back for back in range(WINDOW)), F.lit(DIVISOR))
 
-    def cut(both: Column) -> Column:  # both: struct(lines, hashes)
-        numbers = F.sequence(F.lit(0), F.size(both["lines"]) - 1)
-        last = F.size(both["lines"]) - 1
-        ends = F.filter(numbers, lambda i: (i == last) | ((i >= WINDOW - 1) & (rolled(i, both["hashes"]) == 0)))
-        return pieces(both["lines"], ends)
+    def cut(all_: Column) -> Column:  # all_: struct(lines, hashes, long)
+        numbers = F.sequence(F.lit(0), F.size(all_["lines"]) - 1)
+        last = F.size(all_["lines"]) - 1
+        alone = lambda i: F.get(all_["long"], i) | F.get(all_["long"], i + 1)
+        ends = F.filter(numbers, lambda i: (i == last) | alone(i) | ((i >= WINDOW - 1) & (rolled(i, all_["hashes"]) == 0)))
+        return pieces(all_["lines"], all_["long"], ends)
 
-    def pieces(all_lines: Column, ends: Column) -> Column:
+    def pieces(all_lines: Column, long: Column, ends: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1))
         spans = F.arrays_zip(F.slice(starts, F.lit(1), F.size(ends)).alias("a"), ends.alias("b"))
-        return F.transform(spans, lambda s: F.struct((s["b"] - s["a"] + 1).alias("n"), F.array_join(F.slice(all_lines, s["a"] + 1, s["b"] - s["a"] + 1), "\n").alias("text")))
-
-    # A lambda over an array of one element evaluates lines and hashes once.
-    one = F.array(F.struct(lines.alias("lines"), hashes.alias("hashes")))
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                (s["b"] - s["a"] + 1).alias("n"),
+                F.array_join(F.slice(all_lines, s["a"] + 1, s["b"] - s["a"] + 1), "\n").alias("text"),
+                ((s["b"] > s["a"]) | F.get(long, s["a"])).alias("passage"),
+            ),
+        )
+
+    # A lambda over an array of one element evaluates lines, hashes and lengths once.
+    one = F.array(F.struct(lines.alias("lines"), hashes.alias("hashes"), F.transform(lines, is_long).alias("long")))
     return F.element_at(F.transform(one, cut), 1)
 
 
@@ -65,14 +80,14 @@ def row_key() -> Column:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """row, id, at (chunk number), text of each chunk of several lines that are not all blank."""
+    """row, id, at (chunk number), text of each chunk that may be removed: a passage, not all blank."""
     late = (1 << 63) - 1  # null ids come last
     found = docs.select(
         row_key().alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(late)).alias("id"),
         F.posexplode(chunks_of(text_or_empty())).alias("at", "c"),
     )
-    found = found.filter((F.col("c.n") > 1) & F.col("c.text").rlike(r"[^\s]"))
+    found = found.filter(F.col("c.passage") & F.col("c.text").rlike(r"[^\s]"))
     return found.select("row", "id", "at", F.col("c.text").alias("text"))
 
 

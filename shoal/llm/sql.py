@@ -64,19 +64,24 @@ select p.page_id, p.host, p.path, fit.rule,
 from p left join upper using (host) left join fit using (page_id)
 """
 
-OP3 = """
+OP3 = r"""
 with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
 lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i, len(l) as m from d),
-hashed as (select *, ('0x' || substr(md5(line), 1, 10))::bigint as h from lines),
+hashed as (
+  select *, ('0x' || substr(md5(line), 1, 10))::bigint as h,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 as long from lines),
 ended as (
-  select *, i = m - 1 or (i >= 1 and (h + 257 * lag(h) over (partition by doc_id order by i)) % 3 = 0) as fin from hashed),
+  select *, i = m - 1 or long or coalesce(lead(long) over w, false) or (i >= 1 and (h + 257 * lag(h) over w) % 3 = 0) as fin
+  from hashed window w as (partition by doc_id order by i)),
 numbered as (
   select *, coalesce(sum(fin::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as num
   from ended),
-chunks as (select doc_id, num, string_agg(line, chr(10) order by i) as c, count(*) as n from numbered group by all),
+chunks as (
+  select doc_id, num, string_agg(line, chr(10) order by i) as c, count(*) as n, count(*) > 1 or bool_or(long) as passage
+  from numbered group by all),
 marked as (
-  select *, n > 1 and regexp_matches(c, '[^ \\t\\n\\x0B\\f\\r]')
-    and row_number() over (partition by c, n > 1 order by doc_id, num) > 1 as gone from chunks),
+  select *, passage and regexp_matches(c, '[^ \t\n\x0B\f\r]')
+    and row_number() over (partition by c, passage order by doc_id, num) > 1 as gone from chunks),
 kept as (
   select doc_id, string_agg(c, chr(10) order by num) filter (where not gone) as t, sum(n)::bigint as n_lines,
     coalesce(sum(n) filter (where gone), 0)::bigint as n_removed from marked group by doc_id)

@@ -384,7 +384,8 @@ def plain_chunks(text):
     h = [int(hashlib.md5(x.encode()).hexdigest()[:10], 16) for x in all_lines]
     out, start = [], 0
     for i in range(len(all_lines)):
-        if i == len(all_lines) - 1 or (i >= 1 and (h[i] + 257 * h[i - 1]) % 3 == 0):
+        long = any(len(x.split()) >= 50 for x in all_lines[i : i + 2])
+        if i == len(all_lines) - 1 or long or (i >= 1 and (h[i] + 257 * h[i - 1]) % 3 == 0):
             out.append((i + 1 - start, "\n".join(all_lines[start : i + 1])))
             start = i + 1
     return out
@@ -394,11 +395,13 @@ def test_line_dedup(spark, odd, none):
     rng = random.Random(12)
     pool = [words_like(rng, 6) for _ in range(2000)]
     passage = "\n".join(words_like(rng, 9) for _ in range(12))
-    texts = []
+    texts, paragraph = [], words_like(rng, 60)
     for i in range(120):
         own = [rng.choice(pool) for _ in range(rng.randrange(1, 9))]
         if i % 3 == 0:
             own.insert(rng.randrange(len(own) + 1), passage)
+        if i % 4 == 0:
+            own.insert(rng.randrange(len(own) + 1), paragraph)
         texts.append("\n".join(own))
     texts.append(passage + "\n" + passage)
     df = frame(spark, texts)
@@ -406,15 +409,17 @@ def test_line_dedup(spark, odd, none):
     for i, t in enumerate(texts):
         kept, gone = [], 0
         for n, c in plain_chunks(t):
-            if n > 1 and c.strip() and c in seen:
+            passage = n > 1 or len(c.split()) >= 50
+            if passage and c.strip() and c in seen:
                 gone += n
             else:
                 kept.append(c)
-            if n > 1:
+            if passage:
                 seen.add(c)
         want[i] = ("\n".join(kept), len(t.split("\n")), gone)
     got = {r.doc_id: (r.text, r["__lines"], r["__gone"]) for r in lines.without_repeats(df).collect()}
     assert got == want and sum(g for *_, g in want.values()) > 300
+    assert sum(paragraph in t.split("\n") for t, *_ in got.values()) == 1
     out = lines.without_repeats(odd).collect()
     assert len(out) == odd.count()
     assert {r.text for r in out if r.doc_id == 3} == {None}

@@ -8,9 +8,10 @@ matching.  The fingerprint is the bottom sketch of the anchors' hashes: the ``SK
 least distinct ones, 8 hex digits each, ascending.  The likeness of two fingerprints is the Jaccard
 estimate over the least hashes of their union.
 
-``with_next`` puts documents in descending order of doc_id (ties by MD5 of the text) by one range
-shuffle; a task streams its range and sees each document's successor, and only the last
-document of a range waits for the head of the next, in a table of one row a range.
+``with_next`` puts documents in descending order of doc_id (ties by MD5 of the text).  Keys alone
+are dealt to ranges first, which gives the first key of each range.  One shuffle then brings
+every range's texts to a task, and with them a copy of the next range's first document, so the
+task streams its range and sees each document's successor; nothing is stored in between.
 
 Defined cases: null is the empty text, with the empty fingerprint; two empty fingerprints
 are alike (1), an empty and another are not (0); a text shorter than ``K`` is one anchor;
@@ -24,11 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .shared import arrow_map, text_or_empty, texts_of, written
+from .shared import arrow_map, text_or_empty, texts_of
 
 K, S, SKETCH = 12, 4, 128
 #: Characters that are hashed at a time; neighbours overlap by a k-mer.
@@ -123,44 +124,20 @@ def compared(doc_id, text: str, own: np.ndarray, following: str, theirs: np.ndar
     return doc_id, len(text), digest, as_text(own), as_text(changed), likeness(own, changed), likeness(own, theirs)
 
 
-def _batch(rows: list[tuple], extra: list[list], names: list[str], types: list) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in TYPES]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, *extra], [*TYPES, *types])], [*NAMES, *names])
-
-
 def _stream(batches):
-    """Compares each document of a range with the next one.  The first is told as a head
-    and the last as a tail, with their texts; part is the number of the range."""
-    part = TaskContext.get().partitionId()
-    held = first = None
-
-    def batch(rows, kind, texts):
-        n = len(rows)
-        return _batch(rows, [[kind] * n, [part] * n, texts], ["kind", "part", "text"], [pa.string(), pa.int32(), pa.string()])
-
-    for b in batches:
-        rows = []
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b)):
-            own = sketch(text)
-            if held is None:
-                first = (doc_id, text)
-            else:
-                rows.append(compared(*held, text, own))
-            held = (doc_id, text, own)
-        if rows:
-            yield batch(rows, "done", [None] * len(rows))
-    if held is not None:
-        blank = (len(NAMES) - 1) * (None,)
-        yield batch([(first[0], *blank)], "head", [first[1]])
-        yield batch([(held[0], *blank)], "tail", [held[1]])
-
-
-def _finish(batches):
+    """Compares each document of a range with the next one; the copy that follows the
+    range's last document only ends it."""
+    held = None
     for b in batches:
         rows = []
-        for doc_id, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following"))):
-            rows.append(compared(doc_id, text, sketch(text), following, sketch(following)))
-        yield _batch(rows, [], [], [])
+        for doc_id, text, part, copy in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "part", "copy"))):
+            if held is not None and held[0] == part:
+                own = sketch(text)
+                rows.append(compared(*held[1:], text, own))
+            elif not copy:
+                own = sketch(text)
+            held = None if copy else (part, doc_id, text, own)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(TYPES), TYPES)], NAMES)
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -177,21 +154,29 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, places array<long>, hashes array<long>", rows=500)
 
 
+def _order_key() -> Column:
+    """A string whose order is: larger doc_id first, null last, ties by MD5 of the text."""
+    turned = F.bitwise_not(F.col("doc_id")).bitwiseXOR(F.lit(-(1 << 63)))
+    number = F.coalesce(F.concat(F.lit("0"), F.lpad(F.hex(turned), 16, "0")), F.lit("1"))
+    return F.concat(number, F.md5("text"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """The columns of ``RESULT`` for every document."""
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.withColumn("tie", F.unhex(F.md5("text")))
-    order = [F.desc_nulls_last("doc_id"), F.col("tie")]
-    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("tie")
-    done = written(arrow_map(rows, _stream, f"{RESULT}, kind string, part int, text string", rows=500), "syncmers")
-    # Two rows a range: the tail of one precedes the head of the next that has rows.
-    ends = done.filter("kind != 'done'").select("kind", "part")
-    by_part = W.orderBy("part")
-    heads = ends.filter("kind = 'head'").select(F.col("part").alias("head_part"), F.lag("part").over(by_part).alias("part"), F.max("part").over(W.partitionBy()).alias("last"))
-    heads = heads.select("head_part", F.coalesce("part", "last").alias("part"))
-    texts = done.filter("kind = 'head'").select(F.col("part").alias("head_part"), F.col("text").alias("following"))
-    tails = done.filter("kind = 'tail'").select("doc_id", "text", "part")
-    open_rows = tails.join(heads, "part").join(texts, "head_part").select("doc_id", "text", "following")
-    return done.filter("kind = 'done'").select(*NAMES).union(arrow_map(open_rows, _finish, RESULT, rows=100))
+    rows = rows.withColumn("key", _order_key())
+    firsts = rows.select("key").repartitionByRange(tasks, "key").groupBy(F.spark_partition_id().alias("part"))
+    bounds = sorted(r[1] for r in firsts.agg(F.min("key")).collect())  # one key a range
+
+    @pandas_udf("array<struct<part:int,copy:boolean>>")
+    def places(keys):
+        """The range of each key and, for the first of a range, the range before it."""
+        import pandas as pd
+
+        at = np.searchsorted(np.array(bounds), keys.to_numpy().astype(str), side="right") - 1
+        return pd.Series([[(p, False), ((p - 1) % len(bounds), True)] if bounds[p] == k else [(p, False)] for p, k in zip(at.tolist(), keys)])
+
+    rows = rows.withColumn("place", F.explode(places("key"))).select("doc_id", "text", "key", "place.part", "place.copy")
+    rows = rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "copy", "key")
+    return arrow_map(rows.drop("key"), _stream, RESULT, rows=500)

@@ -8,7 +8,7 @@ that every shard has an integer quota of each source.  A source's documents lie
 in a seeded order; its seats take whole passes over that stream of blocks and
 then its first blocks, so at most one document of a source is cut.
 
-Everything is DataFrame operations.  Positions in a stream come from a prefix
+All of it is DataFrame operations.  Positions in a stream come from a prefix
 sum in three levels (coarse bucket, fine bucket, row), hence no task ever holds a
 whole source.  Per-source tables have one row per source and shard.
 

@@ -3,7 +3,7 @@
 Records are sorted by page_id and cut into shards of ``shard_bytes`` of payload: the
 bounds are ids at whole multiples of that many bytes before them in the order of ids, a
 prefix sum that does not depend on how Spark deals the rows.  One shuffle brings each
-shard's pages together; a task streams its shards in order and begins a new file when the
+shard's pages to a task of its own, which streams them in order and begins a new file when the
 compressed size passes ``roll_bytes``.  Every record is a gzip member of its own; headers,
 lengths, record ids and digests are made anew from page_id, url and payload.
 
@@ -189,7 +189,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     rows = rows.union(revisits.select("page_id", "digest", F.lit(0), none.cast("string"), none.cast("string"), "refers_to"))
     # One sentinel keeps ids whole: nulls would turn a pandas column into floats.
     rows = rows.withColumn("shard", shard_of(F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))))
-    rows = rows.repartition(len(firsts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", "url")
+    rows = rows.repartitionById(len(firsts) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", "url")
 
     def run(batches):
         w, refers = RollingWriter(folder, roll_bytes), (None, None, None)

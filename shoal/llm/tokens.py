@@ -5,9 +5,9 @@ all workers once: at most ``FREQUENT`` words, whatever the corpus.  Tier two is
 worker's own bounded cache, which the tokenizer library fills for pre-tokens that are in
 neither.  A text's count is the sum over its pre-tokens, so no pre-token is ever shuffled.
 
-The frequent words come from a count over all documents: each task keeps a bounded
-summary (when full, it drops the rarer half) and sends its ``SENT`` most frequent ones;
-what they are only decides what is fast, never what is counted.
+The frequent words come from a count over all documents: each task sums the words that
+its batches have repeatedly in a bounded summary (when full, it drops the rarer half) and sends
+its ``SENT`` most frequent ones; what they are only decides what is fast, never what is counted.
 
 Defined cases: null text is the empty text with 0 tokens; a special token's string inside
 a text is one token, as the library has it; repeated rows repeat; an empty table gives
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import arrow_map, texts_of
 
 FREQUENT, SENT, SUMMARY = 16_384, 4_096, 1 << 18
+#: A batch of documents tells the words that it has so many times.
+RARE = 3
 #: Pre-tokens in a worker's cache at most; then it starts anew from tier one.
 REMEMBERED = 500_000
 LIMIT = 512
@@ -84,8 +86,9 @@ def _summaries(batches):
     seen: dict[str, int] = {}
     for batch in batches:
         words = pc.list_flatten(pc.split_pattern(batch.column("text").cast(pa.large_string()), " "))
-        for pair in pc.value_counts(words).to_pylist():
-            word, n = pair.values()
+        counts = pc.value_counts(words)
+        counts = counts.filter(pc.greater_equal(counts.field("counts"), RARE))
+        for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist()):
             if word is not None and len(word) <= 64:
                 seen[word] = seen.get(word, 0) + n
         if len(seen) > SUMMARY:

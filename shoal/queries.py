@@ -116,7 +116,7 @@ search_query(
     "not (contains(lower(name), 'src1') or contains(lower(name), 'src2')) and (contains(lower(name), 'md') or contains(lower(name), 'txt'))",
     f"{points('src1')} + {points('src2')} + {points('md')} + {points('txt')}",
 )
-search_query("quoted_phrase", "parts", '"large brushed"', "contains(lower(name), 'large brushed')", points("large brushed"))
+search_query("quoted_phrase", "parts", '"Small anvil"', "contains(lower(name), 'small anvil')", points("small anvil"))
 search_query("name_scope", "files", "name:doc_12", "contains(lower(name), 'doc_12')", points("doc_12"))
 search_query("path_scope", "files", "path:\\en\\src3", "contains(lower(path), '\\en\\src3')", points("\\en\\src3", path="lower(path)"))
 search_query("match_path", "files", "src1\\doc", "contains(lower(name), 'src1\\doc') or contains(lower(path), 'src1\\doc')", points("src1\\doc", path="lower(path)"), match_path=True)
@@ -126,7 +126,7 @@ search_query("regex_name", "files", 'regex:"^doc_[0-9]{2}_SRC\\d+\\.(md|txt)$"',
 search_query("regex_posix", "files", "name-regex:_[[:alpha:]]+[[:digit:]]\\.", "regexp_matches(name, '_[[:alpha:]]+[[:digit:]]\\.')", "20")
 search_query("regex_path", "files", 'path-regex:"\\\\e[ns]\\\\src(1|2)\\\\doc"', "regexp_matches(path, '\\\\e[ns]\\\\src(1|2)\\\\doc')", "20")
 search_query("filelist_names", "files", 'filelist:"doc_1_src1.md|DOC_5_src5.txt|nothing"', "lower(name) in ('doc_1_src1.md', 'doc_5_src5.txt', 'nothing')", points("doc_1_src1.md"))
-search_query("filelist_paths", "files", "filelist:D:\\en\\src1/doc_1_src1.md|d:/fr/src4\\doc_4_src4.json", "lower(path) in ('d:\\en\\src1\\doc_1_src1.md', 'd:\\fr\\src4\\doc_4_src4.json')", points("d:\\en\\src1\\doc_1_src1.md"))
+search_query("filelist_paths", "files", 'filelist:"D:\\en\\src1/doc_1_src1.md|d:/fr/src4\\doc_4_src4.json"', "lower(path) in ('d:\\en\\src1\\doc_1_src1.md', 'd:\\fr\\src4\\doc_4_src4.json')", points("d:\\en\\src1\\doc_1_src1.md"))
 search_query("filelist_glob", "files", 'filelist:"doc_1?_*.md|*9.log"', "regexp_matches(lower(name), '^doc_1._.*\\.md$') or regexp_matches(lower(name), '^.*9\\.log$')", "20")
 search_query("ext_list", "files", "ext:MD;.log", "ext in ('md', 'log')", points("md"))
 search_query("ext_glob", "files", "ext:t*;?d", "ext in ('txt', 'md')", "20")
@@ -149,7 +149,7 @@ search_query("date_coming", "files", "dm:next36hours", f"mtime >= 13348540800000
 search_query("attr_all", "files", "attr:hidden,readonly", "attributes & 3 = 3")
 search_query("attr_absent", "files", "attr:!h", "attributes & 2 <> 2")
 search_query("file_only", "files", "file:", "true")
-search_query("case_on", "parts", "case:on Brass", "contains(name, 'Brass')", points("Brass", subject="name"))
+search_query("case_on", "words", "case:on The", "contains(name, 'The')", points("The", subject="name"))
 search_query("whole_word", "parts", "wholeword:yes small", "regexp_matches(lower(name), '(^|[^\\p{L}\\p{N}_])small($|[^\\p{L}\\p{N}_])')", points("small"))
 search_query("fold_diacritics", "words", "ele", "contains(strip_accents(lower(name)), 'ele')", points("ele", subject="strip_accents(lower(name))"), match_diacritics=False)
 search_query("filter_macro_documents", "files", compose("doc_1", "document"), "contains(lower(name), 'doc_1') and ext in ('txt', 'md')", " + ".join([points("doc_1"), *[points(e) for e in "doc docx xls xlsx ppt pptx pdf txt md rtf".split()]]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lines, mixing, simhash, syncmers, tokens, toxicity, urls, warc
+from . import bpe, exact, lines, mixing, passages, simhash, syncmers, tokens, toxicity, urls, warc
 from .shared import table
 
 
@@ -32,6 +32,11 @@ def op3_line_dedup(spark, sf_dir):
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
 
 
+def op3_shared_passages(spark, sf_dir):
+    out = passages.without_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+
+
 def op4_syncmers(spark, sf_dir):
     return syncmers.with_next(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,6 @@ def pipeline(spark, sf_dir):
 def queries():
     found = [
         op1_url_filter, op2_bpe, op3_line_dedup, op4_syncmers, op5_token_counts, op6_mixing, op7_exact_dedup, op8_simhash,
-        op9_warc, op10_toxicity, pipeline,
+        op9_warc, op10_toxicity, pipeline, op3_shared_passages,
     ]
     return {f.__name__: f for f in found}

@@ -146,6 +146,18 @@ class ContentIndex:
         percent = F.when(top > 0, F.round(100 * F.col("weight") / top)).otherwise(100).cast("int")
         return best.select("doc", "shard", percent.alias("relevance_percent"), "weight").orderBy(F.desc("weight"), F.lower(F.col("doc").cast("string")))
 
+    def search_shards(self, text: str, each: int, limit: int = 100) -> DataFrame:
+        """Like ``search``, from the best ``each`` documents of every shard of the index."""
+        found = self.matches(text) if min(each, limit) > 0 else None
+        if found is None:
+            return self.search(text, 0)
+        order = [F.desc("weight"), F.lower(F.col("doc").cast("string"))]
+        own = found.withColumn("n", F.row_number().over(W.partitionBy("shard").orderBy(*order))).filter(F.col("n") <= each)
+        best = own.orderBy(*order).limit(min(limit, CONTENT_LIMIT))
+        top = F.max("weight").over(W.partitionBy())  # over the page
+        percent = F.when(top > 0, F.round(100 * F.col("weight") / top)).otherwise(100).cast("int")
+        return best.select("doc", "shard", percent.alias("relevance_percent"), "weight").orderBy(*order)
+
     def estimated_matches(self, text: str) -> int:
         found = self.matches(text)
         return 0 if found is None else found.count()

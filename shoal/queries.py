@@ -522,6 +522,17 @@ sql("content_shard_merge", "tokens", select=f"""{BM25}, t as (select * from w or
   select * from p where shard in ('src0', 'src1', 'src2') order by relevance_percent desc, lower(doc::varchar) limit 20""")
 
 
+@query("content_shard_topk")
+def _(spark, sf_dir):
+    return _index(spark, sf_dir).search_shards("idiot OR the", 20, 200).select("doc", "shard", "relevance_percent")
+
+
+sql("content_shard_topk", "tokens", select=f"""{BM25},
+  own as (select *, row_number() over (partition by shard order by weight desc, lower(doc::varchar)) as n from w),
+  t as (select doc, shard, weight from own where n <= 20 order by weight desc, lower(doc::varchar) limit 200)
+  select doc, shard, round(100 * weight / max(weight) over ())::int as relevance_percent from t""")
+
+
 @query("content_estimated")
 def _(spark, sf_dir):
     return _index(spark, sf_dir).matches("the").agg(F.count(F.lit(1)).alias("estimated_matches"))

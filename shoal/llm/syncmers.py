@@ -14,7 +14,8 @@ every range's texts to a task, and with them a copy of the next range's first do
 task streams its range and sees each document's successor; nothing is stored in between.
 
 Defined cases: null is the empty text, with the empty fingerprint; two empty fingerprints
-are alike (1), an empty and another are not (0); a text shorter than ``K`` is one anchor;
+are alike (1), an empty and another are not (0); a text of at most ``PAIR``
+characters is one anchor; one under ``SHORT`` has all its pairs of characters as anchors, too;
 null ids come last; with one row the next document is itself; repeated rows follow one
 another; an empty table gives an empty result.
 """
@@ -32,6 +33,8 @@ from pyspark.sql.functions import pandas_udf
 from .shared import arrow_map, text_or_empty, texts_of
 
 K, S, SKETCH = 12, 4, 128
+#: Texts of fewer characters have all their k-mers of ``PAIR`` characters as anchors, too.
+SHORT, PAIR = 32, 2
 #: Characters that are hashed at a time; neighbours overlap by a k-mer.
 BLOCK = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -68,14 +71,17 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of all closed syncmers of a text."""
+    """Places and hashes of all closed syncmers of a text, after the pairs of a short one."""
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        if len(chars) < K:
+        if len(chars) <= PAIR:
             return np.zeros(1, np.int64), _grams(chars, len(chars))
         places, hashes = [], []
+        if len(chars) < SHORT:
+            places.append(np.arange(len(chars) - PAIR + 1))
+            hashes.append(_grams(chars, PAIR))
         for start in range(0, len(chars) - K + 1, BLOCK):
             part = chars[start : start + BLOCK + K - 1]
             inner = _grams(part, S)

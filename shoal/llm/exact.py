@@ -22,12 +22,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.ship import ship
 
-from .shared import text_or_empty, written
+from .shared import row_key, rows_with, text_or_empty, written
 
 BUCKET_KEYS = 1024
 #: Bits of a level for each key that is left.
@@ -84,51 +84,66 @@ def lookup_mph(sizes: list[int], bits: np.ndarray, digests: bytes) -> np.ndarray
 
 
 def _index(t: pa.Table) -> pa.Table:
-    digests = t.column("digest").to_pylist()
-    sizes, bits, number = build_mph(b"".join(digests))
-    order = np.argsort(number)
+    raw = b"".join(t.column("digest").to_pylist())
+    sizes, bits, number = build_mph(raw)
+    order = pa.array(np.argsort(number))
     row = {
-        "bucket": t.column("bucket")[0].as_py(),
-        "sizes": sizes,
-        "bits": np.packbits(bits).tobytes(),
-        "digests": b"".join(digests[i] for i in order),
-        "winners": [t.column("keep_id")[int(i)].as_py() for i in order],
-        "counts": [t.column("group_size")[int(i)].as_py() for i in order],
+        "bucket": t.column("bucket").slice(0, 1).cast(pa.int32()),
+        "sizes": pa.array([sizes], pa.list_(pa.int32())),
+        "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
+        "digests": pa.array([np.frombuffer(raw, "S32")[np.argsort(number)].tobytes() if raw else b""], pa.binary()),
+        "winners": _one_list(t.column("keep_id").take(order)),
+        "counts": _one_list(t.column("group_size").take(order)),
     }
-    schema = pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("digests", pa.binary()), ("winners", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
-    return pa.Table.from_pylist([row], schema=schema)
+    return pa.table(row)
+
+
+def _one_list(values: pa.ChunkedArray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.combine_chunks().cast(pa.int64()))
+
+
+def _numbers(values, null: int) -> np.ndarray:
+    return values.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _resolve(index: pa.Table, batch: pa.Table) -> pa.Table:
-    """All groups of a bucket: slots with the batch's repeats folded in, then nonmembers."""
-    slots, winners, counts = [], [], []
-    new = batch.column("digest").to_pylist() if batch.num_rows else []
+    """All groups of a bucket: slots with the batch's repeats folded in, then nonmembers.
+    A winner of no id is less than any id; the digests of a batch are distinct."""
+    least = np.iinfo(np.int64).min
+    slots = np.zeros((0, 32), np.uint8)
+    winners = counts = have = np.zeros(0, np.int64)
+    new = np.frombuffer(b"".join(batch.column("digest").to_pylist()) if batch.num_rows else b"", np.uint8).reshape(-1, 32)
     number = np.full(len(new), -1, np.int64)
     if index.num_rows:
-        row = index.slice(0, 1).to_pylist()[0]
-        slots = [row["digests"][i : i + 32] for i in range(0, len(row["digests"]), 32)]
-        winners, counts = list(row["winners"]), list(row["counts"])
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(row["sizes"])].astype(bool)
-        if new:
-            number = lookup_mph(row["sizes"], bits, b"".join(new))
-    member = [True] * len(slots)
-    more = zip(new, number.tolist(), batch.column("keep_id").to_pylist(), batch.column("group_size").to_pylist()) if new else ()
-    for digest, at, keep, rows in more:
-        if at >= 0 and slots[at] == digest:
-            winners[at] = max((w for w in (winners[at], keep) if w is not None), default=None)
-            counts[at] += rows
-        else:
-            slots.append(digest)
-            winners.append(keep)
-            counts.append(rows)
-            member.append(False)
-    return pa.table({"digest": pa.array(slots, pa.binary()), "keep_id": pa.array(winners, pa.int64()), "group_size": pa.array(counts, pa.int64()), "member": pa.array(member, pa.bool_())})
-
-
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every row, written once: 40 bytes instead of a text."""
+        row = {c: index.column(c)[0] for c in index.column_names}
+        sizes = row["sizes"].as_py()
+        slots = np.frombuffer(row["digests"].as_py(), np.uint8).reshape(-1, 32)
+        have = row["winners"].values.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+        winners, counts = _numbers(row["winners"].values, least).copy(), _numbers(row["counts"].values, 0).copy()
+        bits = np.unpackbits(np.frombuffer(row["bits"].as_py(), np.uint8))[: sum(sizes)].astype(bool)
+        number = lookup_mph(sizes, bits, new.tobytes())
+    member = number >= 0
+    member[member] = (slots[number[member]] == new[member]).all(axis=1)
+    if len(new):
+        keep, rows = _numbers(batch.column("keep_id").combine_chunks(), least), _numbers(batch.column("group_size").combine_chunks(), 0)
+        known = batch.column("keep_id").combine_chunks().is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = number[member]
+        winners[at] = np.maximum(winners[at], keep[member])
+        counts[at] += rows[member]
+        have[at] |= known[member]
+        slots = np.concatenate([slots, new[~member]])
+        winners, counts, have = (np.concatenate(x) for x in ((winners, keep[~member]), (counts, rows[~member]), (have, known[~member])))
+    is_member = np.arange(len(slots)) < len(slots) - int((~member).sum())
+    digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(slots), [None, pa.py_buffer(np.ascontiguousarray(slots).tobytes())])
+    return pa.table({"digest": digest.cast(pa.binary()), "keep_id": pa.array(winners, mask=have == 0), "group_size": pa.array(counts), "member": pa.array(is_member)})
+
+
+def digests(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(doc_id, digest) of every row and its ``key`` if one is given, written once: 40 or 72
+    bytes instead of a text."""
     digest = F.unhex(F.sha2(text_or_empty(), 256))
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")), "digests")
+    more = [] if key is None else [key.alias("key")]
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), *more), "digests")
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -172,9 +187,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, columns as given."""
-    digest = F.sha2(text_or_empty(), 256)
-    key = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), d)
-    kept = exact_groups(docs).filter("kept").select(key(F.col("doc_id"), F.lower(F.hex("digest"))).alias("__key")).distinct()
-    rows = docs.withColumn("__key", key(F.col("doc_id"), digest)).join(kept, "__key", "left_semi")
-    first = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
-    return rows.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    kept = digests(docs, row_key(F.col("doc_id"), F.col("text")))
+    best = find_groups(kept).select("digest", "keep_id")
+    won = kept.join(best, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return rows_with(docs, won.select("key").distinct())

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from shoal.ship import ship
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder, as in local tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Used only by a local session that names no shared folder, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).  A cluster must
+    name one; a session whose executors are the driver's own threads may leave it out."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = FALLBACK_DIR
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = LOCAL_DIR
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,8 +51,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete all tables and archives that ``new_path`` named, when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    """Delete the tables and archives that ``new_path`` named in this application, when no
+    result is read any more.  Other applications' tables stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -61,14 +71,47 @@ def row_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 15), 16, 10).cast("long")
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as make it unlike all ``columns``
+    in any case, so that a caller's own columns pass through untouched."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def as_given(columns: list[str]) -> list[Column]:
+    """The columns by their names, whatever characters they have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """32 bytes that name a row by its id and whole text; a null text is the empty one."""
+    number = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.unhex(F.sha2(F.concat(number, F.lit(":"), F.coalesce(text, F.lit(""))), 256))
+
+
+def rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``row_key`` is in the only column of ``keys``; of rows that
+    repeat id and text, one.  Columns as given."""
+    key, number = free_names(docs.columns, "key", "number")
+    rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"])).join(keys.toDF(key), key, "left_semi")
+    rows = rows.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
+    return rows.filter(F.col(number) == 1).select(*as_given(docs.columns))
+
+
 def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2000, **kw) -> DataFrame:
-    """``mapInArrow`` with batches bounded in rows and bytes, so that a few very
-    long texts do not make one huge batch."""
+    """``mapInArrow`` over slices of ``rows`` rows.  The session's own bounds of Arrow batches
+    (64 MB unless it says otherwise) hold, so a few very long texts make no huge batch."""
     ship(df.sparkSession)
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    return df.mapInArrow(fn, schema, **kw)
+
+    def run(batches):
+        return fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema, **kw)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

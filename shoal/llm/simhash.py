@@ -14,22 +14,23 @@ Every fingerprint is filed under its own codewords and looked up under its near
 ones:
 
 * six keys (exact segment i, codeword of segment j) find the first kind of pair;
-* one key (codewords of segments 0 and 1) finds the second.
+* one key (codewords of all three segments, 36 bits) finds the second.
 
 Candidates meet in an equi-join on the key and are verified by a bit count.  Equal
 fingerprints are one node from the start, so a group of copies of any size is one
-row here.  Components of the links come from alternating star rounds on written
+row here; a fingerprint has at most 43,744 others within three bits, whatever the corpus.
+Components of the links come from alternating star rounds on written
 tables; nothing is collected.
 
 Defined cases: null and word-free texts have fingerprint 0 and link like any other;
 null ids are left out of the minimum and a component of null ids only has a null
-component_id; repeated rows stay; an empty table gives an empty result.
+component_id; repeated rows stay in ``groups``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, texts_of, written
+from .shared import arrow_map, row_key, rows_with, texts_of, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -48,28 +49,33 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str) -> int:
-    """SimHash of a whole text, as an unsigned 64-bit number."""
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of a whole text, in order, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        return xxh64_intdigest(b" ".join(words), 42)
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
     line = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
-    ends = ends[SHINGLE - 1 :].tolist()
+    starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
+    return np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        some = [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])]
-        bits = np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """SimHash of a whole text, as an unsigned 64-bit number."""
+    return majority(shingle_hashes(text, size))
 
 
 def _fingerprints(batches):
@@ -78,6 +84,12 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
 
+def _keyed(batches):
+    for batch in batches:
+        found = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found)], ["doc_id", "key", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every document, computed once and written."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -148,11 +160,11 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 for c in range(1, 6):
                     put(kind, parts[i][some], near[j][some, c], some, False)
                 kind += 1
-    put(kind, near[0][:, 0], near[1][:, 0], number, True)
-    for a in range(6):
-        for b in range(6):
-            some = number[(many[0] | (a == 0)) & (many[1] | (b == 0))]
-            put(kind, near[0][some, a], near[1][some, b], some, False)
+    index = [n >> 11 for n in near]  # the 12 data bits of a codeword
+    put(kind, index[0][:, 0] << 1, index[1][:, 0] << 12 | index[2][:, 0], number, True)
+    for a, b, c in product(range(6), repeat=3):
+        some = number[(many[0] | (a == 0)) & (many[1] | (b == 0)) & (many[2] | (c == 0))]
+        put(kind, index[0][some, a] << 1, index[1][some, b] << 12 | index[2][some, c], some, False)
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(filed)
 
 
@@ -236,8 +248,18 @@ def fingerprint_hex(column: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the document with
-    the least id stays (rows that repeat that id stay together only if ids repeat).
-    Documents without an id can't be told apart by it and stay."""
-    gone = groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` without near-duplicates: of each component one document stays, that of
+    the least id (null ids last, ties by text).  Rows are told apart by id and text,
+    so other texts under a dropped id stay; of rows that repeat both, one stays."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    prints = written(arrow_map(rows, _keyed, "doc_id long, key binary, fp long"), "simhash")
+    return rows_with(docs, best_keys(prints, "fp", components(links(prints.select("fp").distinct()))))
+
+
+def best_keys(rows: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """The key of the document that stays of each component of the nodes of ``rows``
+    (doc_id, key, node).  A group of any size is one row a task before it moves."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best")
+    nodes = rows.groupBy(F.col(node).alias("node")).agg(best).join(roots, "node", "left")
+    kept = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return kept.select("best.key")

@@ -2,7 +2,9 @@
 
 import random
 
-from shoal.llm import near
+import numpy as np
+
+from shoal.llm import near, simhash
 from tests.llm.test_operators import frame, none, odd, words_like  # noqa: F401
 
 
@@ -49,3 +51,43 @@ def test_stage_drops_near_copies_of_many_bits(spark):
     edited = [*words[:40], "new", *words[41:]]
     docs = frame(spark, [" ".join(words), " ".join(edited), words_like(rng, 100)])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """A dropped copy takes no other text of its id along, null ids lose, and repeats leave one row."""
+    rng = random.Random(23)
+    a, z = words_like(rng, 80), words_like(rng, 80)
+    rows = frame(spark, [a, a, z, a, a, z, z], [1, 2, 2, None, None, 2, None])
+    for kept in (near.keep_one(rows), simhash.keep_one(rows)):
+        assert kept.columns == rows.columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, z)])
+    alone = frame(spark, [a, a, z], [None, None, None])
+    for kept in (near.keep_one(alone), simhash.keep_one(alone)):
+        assert sorted(r.text for r in kept.collect()) == sorted([a, z])
+    assert near.keep_one(rows.limit(0)).count() == simhash.keep_one(rows.limit(0)).count() == 0
+
+
+def test_rest_finds_what_stars_miss(spark, monkeypatch):
+    """Without any star round the groups are the same."""
+    rng = random.Random(24)
+    texts = []
+    for _ in range(6):
+        words = words_like(rng, 60).split()
+        for i in range(30):
+            words = words.copy()
+            words[rng.randrange(60)] = f"v{i}"
+            texts.append(" ".join(words))
+    df = frame(spark, texts)
+    want = plain_groups([(r.doc_id, r.text) for r in df.collect()])
+    for rounds in (0, 3):
+        monkeypatch.setattr(near, "ROUNDS", rounds)
+        assert sorted(map(tuple, near.groups(df).collect()), key=str) == want
+
+
+def test_parity_bounds_the_difference():
+    rng = random.Random(25)
+    for _ in range(50):
+        a = {rng.getrandbits(64) for _ in range(rng.randrange(1, 900))}
+        b = set(rng.sample(sorted(a), rng.randrange(len(a) + 1))) | {rng.getrandbits(64) for _ in range(rng.randrange(300))}
+        bits = [near.parity(np.array(sorted(x), np.uint64)).view(np.uint64).tolist() for x in (a, b)]
+        assert sum((x ^ y).bit_count() for x, y in zip(*bits)) <= len(a ^ b)

@@ -521,5 +521,5 @@ def test_warc_empty(spark, tmp_path):
 
 
 def test_shared_folder_is_the_sessions(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None) or shared.FALLBACK_DIR
-    assert shared.new_path(spark, "x").startswith(named.rstrip("/") + "/tables/x-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or shared.LOCAL_DIR
+    assert shared.new_path(spark, "x").startswith(named.rstrip("/") + "/tables/" + spark.sparkContext.applicationId + "/x-")

@@ -8,7 +8,8 @@ import pytest
 
 import corpus_pipeline
 from shoal.llm import toxicity
-from tests.llm.test_operators import library, plain_components, plain_fingerprint
+from tests.llm.test_near import plain_groups
+from tests.llm.test_operators import library
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,9 +42,8 @@ def test_one_of_equal_texts_stays(steps):
 
 
 def test_one_of_near_copies_stays(steps):
-    prints = [(r.doc_id, plain_fingerprint(r.text)) for r in steps[2].collect()]
-    label = plain_components(prints)
-    assert sorted(r.doc_id for r in steps[3].collect()) == sorted({label[f] for _, f in prints})
+    label = plain_groups([(r.doc_id, r.text) for r in steps[2].collect()])
+    assert sorted(r.doc_id for r in steps[3].collect()) == sorted({x for _, x in label})
 
 
 def test_mix_near_its_targets(steps):

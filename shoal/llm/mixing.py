@@ -6,16 +6,19 @@ mix is cut into equal blocks of ``block_words`` words which go to the sources by
 highest quotients ``target / (2k + 1)``, cumulatively over the output shards, so
 that every shard has an integer quota of each source.  A source's documents lie
 in a seeded order; its seats take whole passes over that stream of blocks and
-then its first blocks, so at most one document of a source is cut.
+then its first blocks, so at most one document of a source is cut.  The seats are dealt
+to the shards by the quotas: a document goes, in each pass, to the shard of its first block.
 
 All of it is DataFrame operations.  Positions in a stream come from a prefix
 sum in three levels (coarse bucket, fine bucket, row), hence no task ever holds a
-whole source.  Per-source tables have one row per source and shard.
+whole source.  Per-source tables have one row per source and shard; about four
+quotients a source and shard are ranked, whatever the number of sources.
 
 Defined cases: null text or no words is size 0 and is never taken; a null source
 is a source of its own, sorted last; null or repeated ``doc_id`` rows stay rows of
-their own and ties in the seeded order are broken by id, then size; an empty table
-gives an empty result; other columns are ignored.
+their own and ties in the seeded order are broken by id, then size; rows that repeat id,
+source and text are emitted as often together as the plan takes them; an empty table
+gives an empty result; ``mix`` ignores other columns and ``mixed`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, row_hash, text_or_empty, written
+from .shared import WORD, as_given, free_names, row_hash, text_or_empty, written
 
 #: Rows that one window task gets at most, about.
 ROWS_PER_BUCKET = 256
@@ -36,8 +39,8 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size and seeded position key of every document, written once."""
+def sized(docs: DataFrame, seed: int, key: Column | None = None) -> DataFrame:
+    """doc_id, source, size, seeded position and ``key`` (if given) of every document, written once."""
     text = text_or_empty()
     return written(
         docs.select(
@@ -45,8 +48,8 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
             "source",
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("skey"),
             word_count(text).alias("size"),
-            F.md5(text).alias("text_md5"),
             row_hash(str(seed), F.col("doc_id"), F.md5(text)).alias("h"),
+            *([] if key is None else [key.alias("key")]),
         ),
         "mix-sizes",
     )
@@ -87,41 +90,30 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), max_repeat: int = 3) -> DataFra
 def quotas(goal: DataFrame, block_words: int, shards: int, max_repeat: int = 3) -> DataFrame:
     """shard (1..shards), skey, seats: Sainte-Laguë seats of the shards up to this one.
 
-    Rounding ``target * house / total`` is at most a few seats off the house.  Only
-    those are contested: the next (or last) quotients of each source are ranked
-    and the highest win.
+    With n sources and a house of h seats the winning divisor is total / (h + n) at least and
+    total / (h - n) at most, which bounds a source's seats from both sides.  Only the
+    quotients between the bounds are contested, about 4 n of a shard: the highest win.
     """
     house = goal.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards)))).withColumn(
         "house", F.floor(F.floor(F.col("total") / block_words + 0.5) * F.col("shard") / shards)
     )
     by_shard = W.partitionBy("shard")
-    share = F.when(F.col("total") > 0, F.col("target") * F.col("house") / F.col("total")).otherwise(0.0)
+    share = F.when(F.col("house") > 0, F.col("target") * F.col("house") / F.col("total")).otherwise(0.0)
+    slack = F.when(F.col("house") > 0, F.count(F.lit(1)).over(by_shard) / F.col("house")).otherwise(0.0)
     house = (
-        house.withColumn("base", F.floor(share + 0.5))
-        .withColumn("gap", F.col("house") - F.sum("base").over(by_shard))
-        .withColumn(
-            "k",
-            F.explode_outer(
-                F.when(F.col("gap") > 0, F.sequence("base", F.col("base") + F.col("gap") - 1)).when(
-                    (F.col("gap") < 0) & (F.col("base") > 0),
-                    F.sequence(F.greatest(F.col("base") + F.col("gap"), F.lit(0).cast("long")), F.col("base") - 1),
-                )
-            ),
-        )
+        house.withColumn("low", F.floor(share * F.greatest(1 - slack, F.lit(0.0)) + 0.5))
+        .withColumn("high", F.when(F.col("house") > 0, F.floor(share * (1 + slack) + 0.5) + 1).otherwise(F.col("low")))
+        .withColumn("open", F.col("house") - F.sum("low").over(by_shard))
+        .withColumn("k", F.explode_outer(F.when(F.col("high") > F.col("low"), F.sequence("low", F.col("high") - 1))))
         .withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
     )
     best = W.partitionBy("shard").orderBy(F.desc_nulls_last("quotient"), "n", "k")
-    worst = W.partitionBy("shard").orderBy(F.asc_nulls_last("quotient"), F.desc("n"), F.desc("k"))
-    change = (
-        F.when((F.col("gap") > 0) & F.col("k").isNotNull() & (F.row_number().over(best) <= F.col("gap")), 1)
-        .when((F.col("gap") < 0) & F.col("k").isNotNull() & (F.row_number().over(worst) <= -F.col("gap")), -1)
-        .otherwise(0)
-    )
+    won = F.col("k").isNotNull() & (F.row_number().over(best) <= F.col("open"))
     blocks = F.ceil(F.col("source_size") / block_words)
     return (
-        house.withColumn("change", change)
+        house.withColumn("won", won.cast("int"))
         .groupBy("shard", "skey", "source_size", "target")
-        .agg((F.first("base") + F.sum("change")).alias("seats"))
+        .agg((F.first("low") + F.sum("won")).alias("seats"))
         .withColumn("blocks", blocks)
         .withColumn("seats", F.least("seats", F.col("blocks") * max_repeat))
     )
@@ -150,24 +142,38 @@ def positions(sizes: DataFrame) -> DataFrame:
     return rows.join(fine, ["skey", "fine"]).withColumn("pos", F.col("start") + F.col("within"))
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, block_words: int = 16, shards: int = 8, seed: int = 7):
+def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, block_words: int = 16, shards: int = 8, seed: int = 7, key: Column | None = None):
     """(per document, per shard) frames of the mix.
 
-    Per document: doc_id, source, text_md5, size, source_size, target, copies (whole
-    passes), part (words of the last pass that it adds), taken.  Per shard: shard,
-    skey, blocks, seats (cumulative over shards).
+    Per document: doc_id, source, size, source_size, target, copies (whole passes), part (words
+    of the last pass that it adds), taken, first_shard (of its first copy; null if none is taken),
+    and ``block``, ``blocks``, ``ends`` (its first block, its source's blocks, and the source's
+    seats up to each shard) for ``shard_of``; ``key`` if given.
+    Per shard: shard, skey, blocks, seats (cumulative over shards).
     """
-    sizes = sized(docs, seed)
+    sizes = sized(docs, seed, key)
     seats = written(quotas(targets(sizes, weights, max_repeat), block_words, shards, max_repeat), "mix-seats")
-    last = seats.filter(F.col("shard") == shards).select(
-        "skey", "source_size", "target",
-        F.when(F.col("blocks") > 0, F.floor(F.col("seats") / F.col("blocks"))).otherwise(0).alias("copies"),
-        (F.when(F.col("blocks") > 0, F.col("seats") % F.col("blocks")).otherwise(0) * block_words).alias("run"),
+    per = seats.groupBy("skey", "source_size", "target", "blocks").agg(F.sort_array(F.collect_list("seats")).alias("ends"))
+    last = F.element_at("ends", -1)
+    per = per.select(
+        "skey", "source_size", "target", "blocks", "ends",
+        F.when(F.col("blocks") > 0, F.floor(last / F.col("blocks"))).otherwise(0).alias("copies"),
+        (F.when(F.col("blocks") > 0, last % F.col("blocks")).otherwise(0) * block_words).alias("run"),
     )
     none = F.lit(0).cast("long")
-    out = positions(sizes).join(last, "skey").withColumn("part", F.greatest(none, F.least("size", F.col("run") - F.col("pos"))))
+    out = positions(sizes).join(per, "skey").withColumn("part", F.greatest(none, F.least("size", F.col("run") - F.col("pos"))))
     out = out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-    return out.select("doc_id", "source", "text_md5", "size", "source_size", "target", "copies", "part", "taken"), seats
+    out = out.withColumn("block", F.floor(F.col("pos") / block_words))
+    first = F.when(F.col("taken") > 0, shard_of(F.lit(0), F.col("block"), F.col("blocks"), F.col("ends")))
+    more = [] if key is None else ["key"]
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "part", "taken", first.alias("first_shard"), "block", "blocks", "ends", *more), seats
+
+
+def shard_of(number: Column, block: Column, blocks: Column, ends: Column) -> Column:
+    """The shard that holds a source's block in its pass of this number: the first one whose seats
+    go beyond it."""
+    seat = number * blocks + block
+    return (F.size(F.filter(ends, lambda e: e <= seat)) + 1).cast("int")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -176,33 +182,65 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: each document as often as it is taken, columns as given.
+def mix_key() -> Column:
+    """32 bytes that name a row by id, source and text."""
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.unhex(F.sha2(F.concat_ws(":", number, F.length(source), source, text_or_empty()), 256))
+
+
+def mixed(docs: DataFrame, shard: str | None = None, **options) -> DataFrame:
+    """The rows of the mix: each document as often as it is taken, columns as given, and
+    the copy's shard in a column named ``shard`` if one is asked for.
 
     The document at the end of a source's last pass contributes its first words, up
-    to the block's end.  Rows of equal id and text are alike, so their takes are
-    added up and shared out among them in whole.
+    to the block's end.  Rows of equal id, source and text lie side by side in the stream; the last
+    pass takes all of them, or none, or ends among them, which happens once a source.  Those few
+    groups give what their last pass takes from one row.
     """
-    cols = docs.columns
-    plan, _ = mix(docs, **options)
-    key = ["__id", "__md5"]
-    plan = (
-        plan.filter(F.col("taken") > 0)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"), F.col("source").alias("__source"))
-        .agg(F.max("copies").alias("__copies"), F.max("part").alias("__part"), F.max("size").alias("__size"))
-    )
-    rows = docs.withColumns({"__id": F.col("doc_id"), "__md5": F.md5(text_or_empty())})
-    match = (
-        rows["__id"].eqNullSafe(plan["__id"])
-        & (rows["__md5"] == plan["__md5"])
-        & rows["source"].eqNullSafe(plan["__source"])
-    )
-    rows = rows.join(plan, match).drop(plan["__id"]).drop(plan["__md5"])
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("__copies").cast("int"))
-    tail = F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("__take", F.explode(F.concat(whole, tail)))
-    cut = (F.col("__take") > 0) & (F.col("__take") < F.col("__size"))
-    rows = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("__take"))).otherwise(F.col("text")))
-    if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*cols)
+    plan, _ = mix(docs, key=mix_key(), **options)
+    plan = plan.groupBy("key", "copies", "blocks", "ends").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("part").alias("part"), F.max("size").alias("size"), F.min("block").alias("block"),
+        F.first("doc_id").alias("id"), F.first("source").alias("from"),
+    )
+    whole = F.col("part") == F.col("rows") * F.col("size")
+    plan = written(plan.withColumn("whole", whole).filter("part > 0 or copies > 0").filter("size > 0"), "mix-plan")
+    key, p, take, here, number = free_names([*docs.columns, *([shard] if shard else [])], "key", "plan", "take", "here", "number")
+    known = F.struct(*[F.col(c) for c in ("copies", "blocks", "ends", "part", "size", "block", "whole")]).alias(p)
+
+    def emitted(rows: DataFrame, takes: Column) -> DataFrame:
+        """rows with their plan, each as often as the array ``takes`` says: (pass, words or -1 for all)."""
+        rows = rows.withColumn(take, F.explode(takes))
+        words, x = F.col(take)["words"], F.col(p)
+        cut = words >= 0
+        out = []
+        for c in docs.columns:
+            value = as_given([c])[0]
+            if c == "text":
+                value = F.when(cut, first_words(value, words)).otherwise(value)
+            elif c == "n_chars":
+                value = F.when(cut, F.length(first_words(as_given(["text"])[0], words)).cast(docs.schema[c].dataType)).otherwise(value)
+            out.append(value.alias(c))
+        if shard:
+            out.append(shard_of(F.col(take)["pass"], x["block"], x["blocks"], x["ends"]).alias(shard))
+        return rows.select(*out)
+
+    def one_take(number: Column, words: Column) -> Column:
+        return F.struct(number.cast("long").alias("pass"), words.cast("long").alias("words"))
+
+    x = F.col(p)
+    none = F.array().cast("array<struct<pass:bigint,words:bigint>>")
+    passes = x["copies"] + F.when(x["whole"] & (x["part"] > 0), 1).otherwise(0)
+    each = F.when(passes > 0, F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), lambda i: one_take(i, F.lit(-1)))).otherwise(none)
+    rows = docs.withColumn(key, mix_key()).join(plan.select(F.col("key").alias(key), known), key)
+    out = emitted(rows, each)
+    # Groups in which a source's last pass ends: one a source.  Their rows are met by id and source first.
+    ends = plan.filter("part > 0 and not whole").select(F.col("key").alias(key), known, F.col("id").alias(here), F.col("from").alias(number))
+    met = docs.join(ends, docs["doc_id"].eqNullSafe(ends[here]) & docs["source"].eqNullSafe(ends[number]))
+    met = met.drop(here, number).filter(F.col(key) == mix_key())
+    order = F.row_number().over(W.partitionBy(key).orderBy(key))
+    met = met.withColumn(number, order).filter(F.col(number) == 1).drop(number)
+    full, rest = F.floor(x["part"] / x["size"]), x["part"] % x["size"]
+    again = F.when(full > 0, F.array_repeat(one_take(x["copies"], F.lit(-1)), full.cast("int"))).otherwise(none)
+    again = F.concat(again, F.when(rest > 0, F.array(one_take(x["copies"], rest))).otherwise(none))
+    return out.unionByName(emitted(met, again))

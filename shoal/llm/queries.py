@@ -21,10 +21,12 @@ URL_RULES = [
 
 def op1_url_filter(spark, sf_dir):
     """Outcomes: the label of the same number marks a page; good is of quality and not toxic."""
-    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "page_id")
+    labels = table(spark, sf_dir, "labels")
+    labels = labels.select(F.col("doc_id").alias("page_id"), "quality", "toxic")
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     out = urls.judge(table(spark, sf_dir, "pages"), labels, good, URL_RULES)
-    return out.select("page_id", "host", "path", "rule", "verdict", "n")
+    bounds = [F.round(c, 9).alias(c) for c in ("good_mean", "good_upper")]
+    return out.select("page_id", "host", "path", "rule", "verdict", "n", *bounds)
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -58,7 +60,7 @@ def op2_bpe(spark, sf_dir):
 
 def op6_mixing(spark, sf_dir):
     plan, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op7_exact_dedup(spark, sf_dir):

@@ -12,14 +12,23 @@ with p as (
 marks as (
   select doc_id as page_id, min(case when quality = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end) as good
   from labels where doc_id is not null and quality is not null group by doc_id),
-h as (
-  select host, regexp_extract(host, '([^.]*\.)?[^.]*$') as domain, regexp_extract(host, '[^.]*$') as suffix,
-    count(good) as n, coalesce(sum(good), 0)::bigint as k
+n as (
+  select host, count(good) as n, coalesce(sum(good), 0)::bigint as k,
+    regexp_replace(regexp_extract(host, '[^@]*$'), ':[0-9]*$', '') as name
   from p left join marks using (page_id) group by host),
+x as (
+  select *, case when regexp_full_match(name, '[0-9.]+') then '' else coalesce(
+      (select max(suffix) from (values ('ac.uk'), ('co.uk'), ('gov.uk'), ('org.uk'), ('com.au'), ('net.au'), ('org.au'),
+        ('co.nz'), ('co.jp'), ('ne.jp'), ('or.jp'), ('co.kr'), ('com.br'), ('com.cn'), ('com.mx'), ('com.tr'), ('co.in'),
+        ('co.za')) as v(suffix) where name = suffix or ends_with(name, '.' || suffix)),
+      regexp_extract(name, '[^.]*$')) end as suffix from n),
+h as (
+  select host, n, k, suffix, case when suffix = '' then name when name = suffix then name
+    else regexp_extract(left(name, length(name) - length(suffix) - 1), '[^.]*$') || '.' || suffix end as domain from x),
 d as (select domain, suffix, sum(n)::bigint as dn, sum(k)::bigint as dk from h group by all),
 s as (select suffix, sum(dn)::bigint as sn, sum(dk)::bigint as sk from d group by all),
 dd as (select d.*, sn from d join s using (suffix)),
-hh as (select h.*, dn from h join d using (domain)),
+hh as (select h.*, dn from h join d using (domain, suffix)),
 m as (
   select n, k, case when n > 0 then k / n else 1.0::double end as rate, sa, sb, sc, da, db, dc, ha, hb, hc
   from (select coalesce(sum(sn), 0)::double as n, coalesce(sum(sk), 0)::double as k from s),
@@ -43,15 +52,17 @@ rho as (
     case when hc > dc and n > hc and h_between + h_size * h_within > 0
       then (h_between - h_within) / (h_between + h_size * h_within) else 0 end as rh from ms),
 prior as (
-  select rate, 1 / least(greatest(rs, 0.001::double), 0.5::double) - 1 as ms,
-    1 / least(greatest(rd, 0.001::double), 0.5::double) - 1 as md,
-    1 / least(greatest(rh, 0.001::double), 0.5::double) - 1 as mh from rho),
+  select rate, 1 / least(greatest(rs, 0.05::double), 0.5::double) - 1 as ms,
+    1 / least(greatest(rd, 0.05::double), 0.5::double) - 1 as md,
+    1 / least(greatest(rh, 0.05::double), 0.5::double) - 1 as mh from rho),
 rates as (
-  select host, n, k, mh,
+  select host, n, k, mh, rate,
     (md * ((ms * rate + sk) / (ms + sn)) + dk) / (md + dn) as drate
   from h join d using (domain, suffix) join s using (suffix), prior),
-post as (select host, n, mh * drate + k as a, mh * (1 - drate) + n - k as b from rates),
-upper as (select host, n, a / (a + b) + 1.64::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as upper from post),
+post as (select host, n, rate, mh * drate + k as a, mh * (1 - drate) + n - k as b from rates),
+bound as (
+  select host, n, rate, a / (a + b) as mean, a / (a + b) + 1.0::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as upper
+  from post),
 rules(verdict, rule, own, prefix) as (values
   ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
   ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'),
@@ -60,8 +71,9 @@ fit as (
   select page_id, arg_max(rule, length(rule)) as rule, arg_max(r.verdict, length(rule)) as verdict
   from p join rules r on (p.host = own or ends_with(p.host, '.' || own)) and starts_with(p.path, prefix) group by page_id)
 select p.page_id, p.host, p.path, fit.rule,
-  coalesce(fit.verdict, case when upper < 0.5 then 'block' else 'allow' end) as verdict, upper.n
-from p left join upper using (host) left join fit using (page_id)
+  coalesce(fit.verdict, case when upper < rate then 'block' else 'allow' end) as verdict, bound.n,
+  round(mean, 9) as good_mean, round(upper, 9) as good_upper
+from p left join bound using (host) left join fit using (page_id)
 """
 
 OP3 = r"""
@@ -104,30 +116,35 @@ f as (
     coalesce(sum(weight) over (order by cap::double / weight, skey rows between unbounded preceding and 1 preceding), 0) as used from w),
 l as (select *, max((total - spent)::double / (all_weight - used)::double) over () as level from f),
 goal as (
-  select skey, n, source_size, total::bigint as total, least(cap::double, level * weight) as target,
-    floor(total::double / 16 + 0.5) as house, ceil(source_size::double / 16)::bigint as blocks from l),
-b as (select *, floor(case when total > 0 then target * house / total::double else 0 end + 0.5)::bigint as base from goal),
-g as (select *, (house - sum(base) over ())::bigint as gap from b),
-up as (
-  select skey, row_number() over (order by target / (2 * k + 1) desc, n, k) as rank, gap
-  from (select *, unnest(range(base, base + greatest(gap, 0))) as k from g)),
-down as (
-  select skey, row_number() over (order by target / (2 * k + 1), n desc, k desc) as rank, gap
-  from (select *, unnest(range(greatest(base + least(gap, 0), 0), base)) as k from g where gap < 0)),
-moves as (
-  select skey, count(*) as plus, 0 as minus from up where rank <= gap group by skey
-  union all select skey, 0, count(*) from down where rank <= -gap group by skey),
+  select skey, n, source_size, total::bigint as total, least(cap::double, level * weight) as target, shard,
+    floor(floor(total::double / 16 + 0.5) * shard / 8) as house, ceil(source_size::double / 16)::bigint as blocks
+  from l, range(1, 9) as r(shard)),
+b as (
+  select *, case when house > 0 then target * house / total::double else 0 end as share,
+    case when house > 0 then count(*) over (partition by shard) / house else 0 end as slack from goal),
+bounds as (
+  select *, floor(share * greatest(1 - slack, 0) + 0.5)::bigint as low,
+    case when house > 0 then floor(share * (1 + slack) + 0.5)::bigint + 1 else 0 end as high from b),
+ranked as (
+  select shard, skey, row_number() over (partition by shard order by target / (2 * k + 1) desc, n, k) as rank
+  from (select *, unnest(range(low, high)) as k from bounds)),
+open as (select shard, any_value(house) - sum(low) as seats from bounds group by shard),
+won as (select shard, skey, count(*) as won from ranked join open using (shard) where rank <= seats group by all),
 seats as (
-  select g.skey, any_value(source_size) as source_size, any_value(target) as target, any_value(blocks) as blocks,
-    least(any_value(base) + coalesce(sum(plus), 0) - coalesce(sum(minus), 0), 3 * any_value(blocks))::bigint as seats
-  from g left join moves on g.skey = moves.skey group by g.skey),
+  select shard, skey, source_size, target, blocks, least(low + coalesce(won, 0), 3 * blocks)::bigint as seats
+  from bounds left join won using (shard, skey)),
 run as (
-  select *, case when blocks > 0 then seats // blocks else 0 end as copies,
-    case when blocks > 0 then seats % blocks else 0 end * 16 as run from seats),
-pos as (select *, sum(size) over (partition by skey order by h, doc_id, size rows between unbounded preceding and current row) - size as pos from d)
-select doc_id, size, source_size, target,
-  (copies * size + greatest(0, least(size, run - pos)))::bigint as taken
-from pos join run using (skey)
+  select skey, any_value(source_size) as source_size, any_value(target) as target, any_value(blocks) as blocks,
+    list(seats order by shard) as ends, max(seats) as last from seats group by skey),
+pos as (
+  select *, sum(size) over (partition by skey order by h, doc_id, size rows between unbounded preceding and current row) - size as pos from d),
+taken as (
+  select *, (case when blocks > 0 then last // blocks else 0 end * size
+    + greatest(0, least(size, case when blocks > 0 then last % blocks else 0 end * 16 - pos)))::bigint as taken
+  from pos join run using (skey))
+select doc_id, size, source_size, target, taken,
+  case when taken > 0 then len(list_filter(ends, lambda e: e <= pos // 16)) + 1 end as first_shard
+from taken
 """
 
 OP7 = """

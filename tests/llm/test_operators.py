@@ -4,6 +4,7 @@ ties, repeated rows, empty tables and columns with clashing names."""
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -187,6 +188,30 @@ def test_mixing_odd_rows(spark, odd, none):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mix_gives_what_the_plan_takes(spark):
+    """Repeated rows, one of them most of a source, share their takes; every copy has a shard, and a
+    shard's words are near its quota."""
+    rng = random.Random(16)
+    texts = ["one two three " * 12] * 30 + [words_like(rng, rng.randrange(1, 60)) for _ in range(200)]
+    ids = [5] * 30 + list(range(100, 300))
+    df = frame(spark, texts, ids, ["a"] * 30 + [rng.choice("aabcd") for _ in range(200)])
+    for some in (df, frame(spark, ["a b c " * 24] * 3 + ["x y " * 325], [1, 1, 1, 2], ["s1"] * 3 + ["s2"])):
+        plan = mixing.mix(some)[0].groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).filter("n > 0").collect()
+        got, cut = {}, set()
+        for r in (rows := mixing.mixed(some, shard="to").collect()):
+            key = (r.doc_id, r.source)
+            got[key] = got.get(key, 0) + len(r.text.split())
+            assert 1 <= r.to <= 8
+        assert got == {(r.doc_id, r.source): r.n for r in plan}
+    quota = {(r.shard, r.skey): r.seats for r in mixing.mix(df)[1].collect()}
+    rows, words = mixing.mixed(df, shard="to").collect(), {}
+    for r in rows:
+        words[r.to, "s" + r.source] = words.get((r.to, "s" + r.source), 0) + len(r.text.split())
+    for (shard, source), seats in quota.items():
+        share = 16 * (seats - quota.get((shard - 1, source), 0))
+        assert abs(words.get((shard, source), 0) - share) <= 2 * 60 + 16
+
+
 # -- exact dedup -------------------------------------------------------------------------
 
 
@@ -374,6 +399,78 @@ def test_rules_and_reputation(spark):
     empty = urls.judge(pages.limit(0), labels, F.col("quality") == 1, URL_RULES)
     assert empty.count() == 0
     assert {r.verdict for r in urls.judge(pages.filter("page_id >= 100"), labels.limit(0), F.col("quality") == 1, []).collect()} == {"allow"}
+    many = [*URL_RULES, *(("block", f"h{i}.org/") for i in range(1500)), ("block", "h.org")]
+    assert {r.page_id: r.verdict for r in urls.judge(pages, labels, F.col("quality") == 1, many).collect()} == {i: "block" if i == 11 else r.verdict for i, r in got.items()}
+
+
+def plain_reputation(rows, suffixes):
+    """rows: (host, good or None) of each page; upper bound by host, and the corpus' rate."""
+    hosts = {}
+    for host, good in rows:
+        n, k = hosts.get(host, (0, 0))
+        hosts[host] = (n + (good is not None), k + (good or 0))
+
+    def parents(host):
+        name = re.sub(":[0-9]*$", "", host.split("@")[-1])
+        if re.fullmatch("[0-9.]+", name):
+            return name, ""
+        parts = name.split(".")
+        suffix = next((".".join(parts[-i:]) for i in (3, 2) if ".".join(parts[-i:]) in suffixes), parts[-1])
+        extra = len(suffix.split(".")) + 1
+        return (name if not suffix else ".".join(parts[-extra:])), suffix
+
+    def summed(level, key):
+        out = {}
+        for u, (n, k) in level.items():
+            a, b = out.get(key(u), (0, 0))
+            out[key(u)] = (a + n, b + k)
+        return out
+
+    domain = {h: parents(h) for h in hosts}
+    domains = summed(hosts, domain.__getitem__)
+    tops = summed(domains, lambda d: d[1])
+    total = summed(tops, lambda s: None)[None]
+    rate, strength = total[1] / total[0], []
+    above, units = total[1] * rate, 1
+    for level, parent in ((tops, lambda u: total), (domains, lambda u: tops[u[1]]), (hosts, lambda u: domains[domain[u]])):
+        seen = {u: x for u, x in level.items() if x[0]}
+        a, c = sum(k * k / n for n, k in seen.values()), len(seen)
+        rho = 0.0
+        if c > units and total[0] > c:
+            between, within = (a - above) / (c - units), (total[1] - a) / (total[0] - c)
+            size = (total[0] - sum(n * n / parent(u)[0] for u, (n, _) in seen.items())) / (c - units)
+            whole = between + (size - 1) * within
+            rho = (between - within) / whole if whole > 0 else 0.0
+        strength.append(1 / min(max(rho, 0.05), 0.5) - 1)
+        above, units = a, c
+    shrunk = lambda m, up, x: (m * up + x[1]) / (m + x[0])
+    upper = {}
+    for h, (n, k) in hosts.items():
+        d = domain[h]
+        prior = shrunk(strength[1], shrunk(strength[0], rate, tops[d[1]]), domains[d])
+        a, b = strength[2] * prior + k, strength[2] * (1 - prior) + n - k
+        upper[h] = a / (a + b) + (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
+    return upper, rate
+
+
+def test_reputation_decides(spark):
+    """Bad hosts, domains and suffixes go, with those of their hosts that have no outcomes; verdicts and
+    bounds equal a plain computation."""
+    rng = random.Random(31)
+    names = [f"{x}.site{i}.org" for i in range(8) for x in ("www", "m", "blog")] + [f"h{i}.bad.org" for i in range(4)] + [f"s{i}.junk" for i in range(6)]
+    names += ["a.one.co.uk", "b.two.co.uk", "x:8080", "u@x.org:80", "10.0.0.1", "10.0.0.1:99", "", "org", "evil.site0.org", "two.parts.custom.zone"]
+    bad = lambda h: h.startswith("h") and "bad.org" in h or h.endswith(".junk") or h == "evil.site0.org"
+    rows = [(i, (h := rng.choice(names)), None if h in ("h3.bad.org", "s5.junk") or rng.random() < 0.3 else int(rng.random() < (0.1 if bad(h) else 0.9))) for i in range(1500)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p", 1) for i, h, _ in rows], "page_id long, url string, good int")
+    labels = spark.createDataFrame([(i, g, "z") for i, _, g in rows if g is not None], "page_id long, quality int, url string")
+    suffixes = ("co.uk", "parts.custom.zone")
+    got = urls.judge(pages, labels, F.col("quality") == 1, [], suffixes).collect()
+    upper, rate = plain_reputation([(h, g) for _, h, g in rows], suffixes)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.good_upper == pytest.approx(upper[r.host], abs=1e-9) and r.verdict == ("block" if upper[r.host] < rate else "allow")
+        assert (r.verdict == "block") == bad(r.host), r
+    assert {r.host for r in got if r.n == 0} == {"h3.bad.org", "s5.junk"}
 
 
 # -- lines -------------------------------------------------------------------------------

@@ -103,10 +103,17 @@ def rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.filter(F.col(number) == 1).select(*as_given(docs.columns))
 
 
-def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2000, **kw) -> DataFrame:
-    """``mapInArrow`` over slices of ``rows`` rows.  The session's own bounds of Arrow batches
-    (64 MB unless it says otherwise) hold, so a few very long texts make no huge batch."""
+#: Rows and bytes of the Arrow batches that executors send to Python, where the session sets no bounds.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = 1000, **kw) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``rows`` rows.  Batches are bounded in rows and bytes, so that a
+    few very long texts make no huge batch: by the session's own settings, or by ``BATCH``."""
     ship(df.sparkSession)
+    for name, most in BATCH.items():
+        if df.sparkSession.conf.get(name, None) is None:
+            df.sparkSession.conf.set(name, str(most))
 
     def run(batches):
         return fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))

@@ -35,6 +35,8 @@ the verdict is allow; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +85,13 @@ def domain_of(name: Column, suffix: Column) -> Column:
     return F.when(suffix == "", name).otherwise(known)
 
 
+RULES = "array<struct<own:string,size:int,rule:string,prefix:string,verdict:string>>"
+
+
 def rules_of(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """host, rules (array of length, rule, prefix, verdict) of the hosts that rules fit by name."""
-    rows = [(text.partition("/")[0], len(text), text, "/" + text.partition("/")[2] if "/" in text else "", what) for what, text in rules]
-    known = hosts.sparkSession.createDataFrame(rows, "own string, size int, rule string, prefix string, verdict string")
+    rows = [dict(own=text.partition("/")[0], size=len(text), rule=text, prefix=text[len(text.partition("/")[0]) :], verdict=what) for what, text in rules]
+    known = hosts.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), RULES)))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     met = hosts.select("host", F.explode(parents).alias("own")).join(known, "own")

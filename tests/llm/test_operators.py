@@ -366,6 +366,52 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {r.score for r in toxicity.scores(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_grams(text):
+    line = " " + " ".join((text or "").lower().split()) + " "
+    return {line[i : i + n] for n in range(2, 7) for i in range(len(line) - n + 1)}
+
+
+def test_ratios_and_fit_against_plain_grams(spark):
+    """Log-count ratios of character n-grams, counted gram by gram, and a fit at the minimum of its loss."""
+    docs, _, toxic = labelled(spark, 200)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()] + ["日本語 毒", "ÀÉ ß", "", None]
+    y = np.array([*toxic, 1, 0, 0, 1])
+    found = [toxicity.features(t or "") for t in texts]
+    ratio, statistic = toxicity.ratios(found, y)
+    grams, total = [plain_grams(t) for t in texts], np.bincount(y)
+    place = {g: toxicity.features_of_gram(g) for g in set().union(*grams)}
+    shared_place = {p for p in place.values() if list(place.values()).count(p) > 1} if len(place) < 3000 else None
+    for at, own in zip(found, grams):
+        assert set(at.tolist()) == {place[g] for g in own}
+    for g in random.Random(1).sample(sorted(place), 300):
+        same = {h for h, p in place.items() if p == place[g]} if shared_place is None else {g}
+        p, q = (sum(bool(same & own) for own, t in zip(grams, y) if t == c) for c in (1, 0))
+        assert ratio[place[g]] == pytest.approx(np.log((p + 1) / (total[1] + 2)) - np.log((q + 1) / (total[0] + 2)))
+        pp, qq, m = (p + 1) / (total[1] + 2), (q + 1) / (total[0] + 2), (p + q + 1) / (len(y) + 2)
+        like = lambda x, m, n: n * (x * np.log(x / m) + (1 - x) * np.log((1 - x) / (1 - m)))
+        assert statistic[place[g]] == pytest.approx(2 * (like(pp, m, total[1]) + like(qq, m, total[0])))
+    weight = np.where(y == 1, 2.0, 0.5)
+    model = toxicity.fit(found, y, weight)
+    kept = np.flatnonzero(statistic >= toxicity.SIGNIFICANT)
+    kept = kept[np.isin(kept, np.concatenate(found))]
+    dense = np.array([np.isin(kept, at) for at in found]) * ratio[kept]
+    v = model.weights[kept] / ratio[kept]
+    mu = 1 / (1 + np.exp(-(dense @ v + model.intercept)))
+    w = weight / weight.mean()
+    slope = dense.T @ (w * (mu - y)) + toxicity.PENALTY * v
+    assert abs(slope).max() < 0.05 and abs((w * (mu - y)).sum()) < 0.05
+    assert np.count_nonzero(model.weights) <= len(kept)
+    assert model.score(texts[0]) == pytest.approx(mu[0], abs=1e-5)
+
+
+def test_one_document_an_id_is_learnt_from(spark):
+    docs, labels, _ = labelled(spark, 60)
+    twice = docs.union(docs).union(docs.withColumn("text", F.lit("zz")).filter("doc_id < 3"))
+    a, b = toxicity.train(docs.filter("doc_id >= 3"), labels), toxicity.train(twice.filter("doc_id >= 3"), labels)
+    assert np.array_equal(a.weights, b.weights) and a.intercept == b.intercept
+    assert toxicity.scores(twice, labels).count() == twice.count()
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs, labels, _ = labelled(spark, 120)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))

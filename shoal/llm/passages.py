@@ -1,7 +1,7 @@
 """Removal of shared passages: runs of lines with ``LONG`` words or more that occur elsewhere.
 
-``lines`` removes whole chunks, so a passage's head and tail stay where foreign lines share their
-chunk.  Here every line starts the shortest run of lines of ``LONG`` words and ends one.  Runs
+The second step of line dedup.  ``lines`` removes whole chunks, so a passage's head and tail stay where
+foreign lines share their chunk, and so does a long line by itself.  Here every line starts the shortest run of lines of ``LONG`` words and ends one.  Runs
 depend on their own lines only, and those inside a passage cover all its lines, so a passage goes
 whole wherever the text around it differs.  A run stays at its first place, the least doc_id and
 there the first line; repeats that overlap it go from its end on.
@@ -12,17 +12,20 @@ Blank lines count for nothing in a run and go with the lines around them.  Defin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .lines import LONG, row_key
-from .shared import WORD, text_or_empty, written
+from .lines import rebuilt
+from .shared import WORD, row_key, text_or_empty, written
+
+#: Words of a run, at least.
+LONG = 50
 
 
 def runs(docs: DataFrame) -> DataFrame:
     """row, id, a, b (first and last line), key of each shortest run of ``LONG`` words."""
     rows = docs.select(
-        row_key().alias("row"),
+        row_key(F.col("doc_id"), F.col("text")).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"),
         F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("at", "line"),
     )
@@ -58,20 +61,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without repeated passages, and __lines, __gone: numbers of lines
-    that the text had and lost."""
-    rows = docs.withColumn("__row", row_key())
-    gone = repeats(docs).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    rows = rows.join(gone, "__row", "left")
-    rows = rows.withColumn("__at", F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["a"], s["b"])))))
-    text = F.split(text_or_empty(), "\n", -1)
-    kept = F.filter(text, lambda line, i: ~F.array_contains(F.col("__at"), i))
-    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    rows = rows.withColumns(
-        {
-            "__lines": F.coalesce(breaks + 1, F.lit(0)).cast("long"),
-            "__gone": F.when(F.col("__at").isNull(), 0).otherwise(F.size("__at")).cast("long"),
-            "__text": F.when(F.col("__at").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        }
-    )
-    return rows.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "__lines", "__gone")
+    """The rows of ``docs`` without repeated passages; see ``lines.rebuilt``."""
+
+    def kept_and_lost(text: Column, spans: Column) -> Column:
+        gone = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))))
+
+        def parts(at: Column) -> Column:
+            kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(at, i))
+            return F.struct(F.array_join(kept, "\n").alias("text"), F.size(at).cast("long").alias("lost"))
+
+        return F.element_at(F.transform(F.array(gone), parts), 1)
+
+    return rebuilt(docs, repeats(docs), kept_and_lost)

@@ -31,12 +31,12 @@ def op1_url_filter(spark, sf_dir):
 
 def op3_line_dedup(spark, sf_dir):
     out = lines.without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+    return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_shared_passages(spark, sf_dir):
     out = passages.without_passages(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+    return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op4_syncmers(spark, sf_dir):

@@ -79,17 +79,17 @@ from p left join bound using (host) left join fit using (page_id)
 OP3 = r"""
 with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
 lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i, len(l) as m from d),
-hashed as (
-  select *, ('0x' || substr(md5(line), 1, 10))::bigint as h,
-    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 as long from lines),
-ended as (
-  select *, i = m - 1 or long or coalesce(lead(long) over w, false) or (i >= 1 and (h + 257 * lag(h) over w) % 3 = 0) as fin
+hashed as (select *, ('0x' || substr(md5(line), 1, 10))::bigint % 2147483647 as h from lines),
+rolled as (
+  select *, (h + coalesce(lag(h, 1) over w, 0) * 1000003 % 2147483647
+    + coalesce(lag(h, 2) over w, 0) * 1426104154 % 2147483647 + coalesce(lag(h, 3) over w, 0) * 1049561761 % 2147483647) % 2147483647 as roll
   from hashed window w as (partition by doc_id order by i)),
+ended as (select *, i = m - 1 or roll % 3 = 0 as fin from rolled),
 numbered as (
   select *, coalesce(sum(fin::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as num
   from ended),
 chunks as (
-  select doc_id, num, string_agg(line, chr(10) order by i) as c, count(*) as n, count(*) > 1 or bool_or(long) as passage
+  select doc_id, num, string_agg(line, chr(10) order by i) as c, count(*) as n, count(*) > 1 as passage
   from numbered group by all),
 marked as (
   select *, passage and regexp_matches(c, '[^ \t\n\x0B\f\r]')

@@ -523,12 +523,12 @@ def test_reputation_decides(spark):
 
 
 def plain_chunks(text):
-    all_lines = text.split("\n")
+    all_lines, prime = text.split("\n"), 2**31 - 1
     h = [int(hashlib.md5(x.encode()).hexdigest()[:10], 16) for x in all_lines]
     out, start = [], 0
     for i in range(len(all_lines)):
-        long = any(len(x.split()) >= 50 for x in all_lines[i : i + 2])
-        if i == len(all_lines) - 1 or long or (i >= 1 and (h[i] + 257 * h[i - 1]) % 3 == 0):
+        rolled = sum(h[i - k] * 1_000_003**k for k in range(4) if i >= k)
+        if i == len(all_lines) - 1 or rolled % prime % 3 == 0:
             out.append((i + 1 - start, "\n".join(all_lines[start : i + 1])))
             start = i + 1
     return out
@@ -537,7 +537,7 @@ def plain_chunks(text):
 def test_line_dedup(spark, odd, none):
     rng = random.Random(12)
     pool = [words_like(rng, 6) for _ in range(2000)]
-    passage = "\n".join(words_like(rng, 9) for _ in range(12))
+    passage = "\n".join(words_like(rng, 9) for _ in range(40))
     texts, paragraph = [], words_like(rng, 60)
     for i in range(120):
         own = [rng.choice(pool) for _ in range(rng.randrange(1, 9))]
@@ -546,29 +546,35 @@ def test_line_dedup(spark, odd, none):
         if i % 4 == 0:
             own.insert(rng.randrange(len(own) + 1), paragraph)
         texts.append("\n".join(own))
-    texts.append(passage + "\n" + passage)
-    df = frame(spark, texts)
+    texts += [passage + "\n" + passage, passage]
+    df = frame(spark, texts, [*range(len(texts) - 1), 0])
     seen, want = set(), {}
-    for i, t in enumerate(texts):
+    for i, t in sorted(enumerate(texts), key=lambda x: (x[0] % (len(texts) - 1), hashlib.sha256(f"{x[0] % (len(texts) - 1)}:{x[1]}".encode()).digest())):
         kept, gone = [], 0
         for n, c in plain_chunks(t):
-            passage = n > 1 or len(c.split()) >= 50
-            if passage and c.strip() and c in seen:
+            if n > 1 and c.strip() and c in seen:
                 gone += n
             else:
                 kept.append(c)
-            if passage:
+            if n > 1:
                 seen.add(c)
-        want[i] = ("\n".join(kept), len(t.split("\n")), gone)
-    got = {r.doc_id: (r.text, r["__lines"], r["__gone"]) for r in lines.without_repeats(df).collect()}
-    assert got == want and sum(g for *_, g in want.values()) > 300
-    assert sum(paragraph in t.split("\n") for t, *_ in got.values()) == 1
+        want[i % (len(texts) - 1), "\n".join(kept)] = (len(t.split("\n")), gone)
+    got = {(r.doc_id, r.text): (r.n_lines, r.n_removed) for r in lines.without_repeats(df).collect()}
+    assert got == want and sum(g for _, g in want.values()) > 1000
     out = lines.without_repeats(odd).collect()
     assert len(out) == odd.count()
     assert {r.text for r in out if r.doc_id == 3} == {None}
     assert lines.without_repeats(none).count() == 0
 
 
+def test_boundaries_resist_shifts():
+    """Lines put before or after a passage move its chunks' ends only within a window."""
+    rng = random.Random(17)
+    passage = [words_like(rng, 5) for _ in range(300)]
+    ends = lambda head: {c.split("\n")[-1] for _, c in plain_chunks("\n".join([*head, *passage]))}
+    assert len(ends([]) ^ ends(["x", "y z", "q"])) <= 2 * lines.WINDOW and 60 < len(ends([])) < 140
+
+
 # -- syncmers ----------------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ def test_short_passages_go_whole(spark, odd, none):  # noqa: F811
         own.insert(rng.randrange(len(own) + 1), shared[i % len(shared)])
         texts.append("\n".join(own))
     texts += ["\n".join([words_like(random.Random(1), 20)] * 12), shared[0] + "\n\n" + shared[0]]
-    got = {r.doc_id: (r.text, r["__lines"], r["__gone"]) for r in passages.without_passages(frame(spark, texts)).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in passages.without_passages(frame(spark, texts)).collect()}
     for i, (t, gone) in enumerate(zip(texts, plain(texts))):
         every = t.split("\n")
         assert got[i] == ("\n".join(x for n, x in enumerate(every) if n not in gone), len(every), len(gone))

@@ -595,6 +595,72 @@ def test_anchors_by_blocks(monkeypatch):
     assert [x.tolist() for x in syncmers.anchors(a)] == whole
 
 
+def plain_hash(chars):
+    h = sum((ord(c) + 1) * 0x9E3779B97F4A7C15 ** (len(chars) - 1 - i) for i, c in enumerate(chars)) % 2**64
+    h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ h >> 29
+
+
+def test_anchors_are_the_closed_syncmers():
+    """Every k-mer whose least inner substring lies at an edge, and no other."""
+    rng = random.Random(18)
+    for n in (24, 25, 40, 47, 48, 49, 300):
+        text = "".join(rng.choice("abé日😀 ") for _ in range(n))
+        want = []
+        for i in range(n - syncmers.K + 1):
+            kmer = text[i : i + syncmers.K]
+            inner = [plain_hash(kmer[j : j + syncmers.S]) for j in range(syncmers.K - syncmers.S + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                want.append((i, plain_hash(kmer)))
+        if n < syncmers.SHORT:
+            want += [(i, plain_hash(text[i : i + 2])) for i in range(n - 1)]
+        assert sorted(zip(*(x.tolist() for x in syncmers.anchors(text)))) == sorted(want)
+
+
+def plain_chain(a, b):
+    """Longest chain of ranked anchors by dynamic programming."""
+    def ranked(x):
+        seen, out = {}, []
+        for v in x.tolist():
+            v &= (1 << 24) - 1
+            seen[v] = seen.get(v, -1) + 1
+            out.append((v, seen[v]))
+        return out
+
+    a, place = ranked(a), {v: j for j, v in enumerate(ranked(b))}
+    js, best = [place[v] for v in a if v in place], []
+    for i, j in enumerate(js):
+        best.append(1 + max((best[k] for k in range(i) if js[k] < j), default=0))
+    return max(best, default=0)
+
+
+def test_positional_matching():
+    rng = random.Random(19)
+    parts = [words_like(rng, 40) for _ in range(6)]
+    for _ in range(40):
+        a, b = (" ".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(2))
+        x, y = syncmers.fingerprint(a), syncmers.fingerprint(b)
+        n = plain_chain(x, y)
+        assert len(syncmers.chain(x, y)[0]) == n and syncmers.likeness(x, y) == n / (len(x) + len(y) - n)
+        assert syncmers.likeness(x, x) == 1 and (syncmers.from_text(syncmers.as_text(x)) == x).all()
+        ends = (0, 0)
+        for at, bt, size in syncmers.spans(x, y):
+            assert a[at : at + size] == b[bt : bt + size] and at >= ends[0] - syncmers.K and bt >= ends[1] - syncmers.K
+            ends = at + size, bt + size
+    a, b = syncmers.fingerprint(parts[0] + parts[1]), syncmers.fingerprint(parts[1] + parts[0])
+    assert syncmers.likeness(a, b) < 0.7  # the same anchors in another order
+
+
+def test_span_table(spark):
+    rng = random.Random(20)
+    shared = words_like(rng, 60)
+    rows = [(1, 2, "head one " + shared + " x", "another, longer head " + shared + " y"), (3, 4, None, "z"), (5, 6, "abc", "abc")]
+    got = {r.a: r for r in syncmers.span_table(spark.createDataFrame(rows, "a long, b long, text_a string, text_b string")).collect()}
+    (s,) = got[1].spans
+    assert s.in_b - s.in_a == len("another, longer head ") - len("head one ") and s.n > 0.8 * len(shared)
+    assert got[3].likeness == 0 and got[5].likeness == 1
+
+
 def test_syncmers_against_plain_order(spark, odd, none):
     rng = random.Random(15)
     texts = [words_like(rng, rng.randrange(0, 120)) for _ in range(60)]
@@ -606,7 +672,7 @@ def test_syncmers_against_plain_order(spark, odd, none):
             text, after = r.text or "", order[(i + 1) % len(order)].text or ""
             third = len(text) // 3
             new = text[: len(text) - third] + after[:third]
-            a, b, c = map(syncmers.sketch, (text, new, after))
+            a, b, c = map(syncmers.fingerprint, (text, new, after))
             want.append((r.doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), syncmers.as_text(a), syncmers.as_text(b), syncmers.likeness(a, b), syncmers.likeness(a, c)))
         got = syncmers.with_next(df).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

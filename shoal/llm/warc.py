@@ -1,24 +1,26 @@
-"""A deterministic sharded WARC writer, and the reader.
+"""Deterministic sharded WARC writer, and the reader.
 
-Records are sorted by page_id and cut into shards of ``shard_bytes`` of payload: the
-bounds are ids at whole multiples of that many bytes before them in the order of ids, a
-prefix sum that does not depend on how Spark deals the rows.  One shuffle brings each
-shard's pages to a task of its own, which streams them in order and begins a new file when the
-compressed size passes ``roll_bytes``.  Every record is a gzip member of its own; headers,
-lengths, record ids and digests are made anew from page_id, url and payload.
+Records are sorted by page_id and payload digest and cut into shards of ``shard_bytes`` of payload (more
+where that would give over ``MAX_SHARDS``): the bounds are keys at whole multiples of that many
+bytes before them in the order of keys, a prefix sum that does not depend on how Spark deals the
+rows.  One shuffle brings each shard's pages to a task of its own, which streams them in order and
+begins a new file when the compressed size passes ``roll_bytes``.  Every record is a gzip member of
+its own; headers, lengths, record ids and digests are made anew from page_id, url and payload.
 
-A file is written under a temporary name with a random part and renamed when complete, so a
-repeated or speculative task replaces it by the same bytes.  The manifest (file, shard,
-records, bytes, SHA-256) is written last by Spark's own committer, and readers open only files
-that it names.
+A file is written under a temporary name with a random part and renamed when complete; its last name
+has the SHA-256 of its bytes, so a repeated or speculative task replaces it by the same file.  The
+manifest (file, shard, records, bytes, SHA-256) is written last by Spark's own committer; then
+temporary files of lost tasks are deleted.  A reader wants the manifest, as many files as it
+lists, and of every file the bytes that its name promises; nothing of that is collected.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the largest page_id is
 a response and the others are revisits of it; smaller ones are responses.
 
 Defined cases: null html is the empty payload; a null url becomes ``urn:page:ID``; a null
-page_id sorts first, loses against any id, and with no id in its group is a response;
-rows that repeat page_id and payload are one capture and all have the same type; an empty table
-gives an empty archive and result; other columns are ignored.
+page_id sorts first (by digest, so such rows spread over shards), loses against any id, and with no id
+in its group is a response; rows that repeat page_id and payload are one capture, lie in one shard and all
+have the same type; an empty table gives an empty archive and result; other columns are ignored.  The
+folder must be new.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -40,6 +42,8 @@ from .shared import arrow_map, new_path, written
 
 REVISIT_BYTES = 1000
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
+#: Shards at most, and so the keys that the driver holds and sends: 58 bytes each.
+MAX_SHARDS = 100_000
 #: One date for all records: the archive depends on its input only.
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -112,7 +116,7 @@ class RollingWriter:
     def open(self, shard: int) -> None:
         self.number = self.number + 1 if shard == self.shard else 0
         self.shard, self.records, self.size, self.sum = shard, 0, 0, hashlib.sha256()
-        self.name = f"shard-{shard:06d}-{self.number:05d}.warc.gz"
+        self.name = f"shard-{shard:06d}-{self.number:05d}"
         self.temporary = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}.tmp"
         self.out = self.store.open_output_stream(self.temporary, compression=None)
         self.put(b"warcinfo", count=False)
@@ -133,8 +137,10 @@ class RollingWriter:
             return None
         self.out.close()
         self.out = None
-        self.store.move(self.temporary, f"{self.folder}/{self.name}")
-        return self.shard, self.name, self.records, self.size, self.sum.hexdigest()
+        digest = self.sum.hexdigest()
+        name = f"{self.name}-{digest}.warc.gz"
+        self.store.move(self.temporary, f"{self.folder}/{name}")
+        return self.shard, name, self.records, self.size, digest
 
     def add(self, shard: int, raw: bytes) -> tuple | None:
         """The manifest row of the file that this record closes, if any."""
@@ -149,46 +155,51 @@ class RollingWriter:
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string"
 
 
-def plan(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, list[int]]:
-    """(page_id, digest, refers_to) of the revisits, and the first id of each shard but one."""
+def plan(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, list[str]]:
+    """(page_id, digest, refers_to) of the revisits, and the first key of each shard but one."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     keys = written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n")), "warc-keys")
     best = keys.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("times"))
     best = best.filter("times > 1 and refers_to is not null").drop("times")
     revisits = keys.join(best, "digest").filter("page_id is null or page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
 
-    # Bytes before each id, in the order of ids: sums by range of ids, then within the range.
+    # Bytes before each key, in the order of keys: sums by range of keys, then within the range.
     ranges = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = keys.filter("page_id is not null").groupBy("page_id").agg(F.sum("n").alias("n"))
-    sizes = written(sizes.repartitionByRange(ranges, "page_id").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    sizes = keys.groupBy(order_key(F.col("page_id"), F.col("digest")).alias("key")).agg(F.sum("n").alias("n"))
+    sizes = written(sizes.repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id()), "warc-sizes")
     starts = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.groupBy("part").agg(F.sum("n").alias("total")).withColumn("offset", F.coalesce(F.sum("total").over(starts), F.lit(0)))
-    within = W.partitionBy("part").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    within = W.partitionBy("part").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     at = sizes.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets.select("part", "offset"), "part")
-    shard = F.floor((F.col("offset") + F.col("before")) / shard_bytes)
-    firsts = at.groupBy(shard.alias("shard")).agg(F.min("page_id").alias("first")).filter("shard > 0").orderBy("shard").collect()
-    return revisits, [r["first"] for r in firsts]  # one number a shard
+    shard = F.floor((F.col("offset") + F.col("before")) / max(shard_bytes, -(-total // MAX_SHARDS)))
+    firsts = at.groupBy(shard.alias("shard")).agg(F.min("key").alias("first")).filter("shard > 0").orderBy("shard").collect()
+    return revisits, [r["first"] for r in firsts]  # at most MAX_SHARDS
+
+
+def order_key(page_id: Column, digest: Column) -> Column:
+    """57 characters whose order is that of ids, null first, then of digests."""
+    number = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), number), F.lit("0" * 17)), digest)
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the archive to ``folder`` and return its manifest."""
     spark = pages.sparkSession
     revisits, firsts = plan(pages, shard_bytes)
-    bounds = np.array(firsts, np.int64)
+    sent = spark.sparkContext.broadcast(np.array(firsts, "U57"))
 
     @pandas_udf("int")
-    def shard_of(ids):
-        known = ids.fillna(np.iinfo(np.int64).min).to_numpy().astype(np.int64)
+    def shard_of(keys):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, known, side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(sent.value, keys.to_numpy().astype("U57"), side="right").astype(np.int32))
 
     payload = F.coalesce(F.col("html"), F.lit(""))
     none = F.lit(None)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.lit(1).alias("kind"), "url", payload.alias("html"), none.cast("long").alias("refers_to"))
     rows = rows.union(revisits.select("page_id", "digest", F.lit(0), none.cast("string"), none.cast("string"), "refers_to"))
-    # One sentinel keeps ids whole: nulls would turn a pandas column into floats.
-    rows = rows.withColumn("shard", shard_of(F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))))
+    rows = rows.withColumn("shard", shard_of(order_key(F.col("page_id"), F.col("digest"))))
     rows = rows.repartitionById(len(firsts) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", "url")
 
     def run(batches):
@@ -210,6 +221,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
 
     make_folder(spark, folder)
     arrow_map(rows, run, MANIFEST, rows=500).write.parquet(f"{folder}/_manifest")
+    drop_temporary(spark, folder)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
@@ -218,6 +230,14 @@ def make_folder(spark, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def drop_temporary(spark, folder: str) -> None:
+    """Delete what tasks left that were lost before they renamed their file."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.shard-*.tmp")
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in store.globStatus(pattern) or []:
+        store.delete(left.getPath(), False)
+
+
 def members(data: bytes, step: int = 1 << 16):
     """The gzip members of a file, unpacked one at a time."""
     view, at = memoryview(data), 0
@@ -233,17 +253,21 @@ def members(data: bytes, step: int = 1 << 16):
 
 
 def read(spark, folder: str) -> DataFrame:
-    """Rows of ``RECORDS`` from all files that the manifest names; a file whose digest is
-    not the manifest's fails."""
-    named = {r["file"]: r["sha256"] for r in spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").collect()}  # one a file
-    if not named:
+    """Rows of ``RECORDS`` from the files of a finished archive.  It fails if files are missing or too
+    many, and when a file's bytes are not those that its name has the digest of."""
+    listed = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if not listed[0]:
         return spark.createDataFrame([], RECORDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.warc.gz").load(folder)
+    there = files.select("path", "length").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if tuple(there) != tuple(listed):
+        raise ValueError(f"{folder} has {there[0]} files of {there[1]} bytes; its manifest lists {listed[0]} of {listed[1]}")
 
     def run(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 data = content.as_py()
-                if hashlib.sha256(data).hexdigest() != named[path.rpartition("/")[2]]:
+                if not path.endswith(f"-{hashlib.sha256(data).hexdigest()}.warc.gz"):
                     raise ValueError(f"damaged file {path}")
                 rows = []
                 for raw in members(data):
@@ -256,8 +280,7 @@ def read(spark, folder: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    files = spark.read.format("binaryFile").load([f"{folder}/{f}" for f in sorted(named)]).select("path", "content")
-    return arrow_map(files, run, RECORDS, rows=2)
+    return arrow_map(files.select("path", "content"), run, RECORDS, rows=2)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

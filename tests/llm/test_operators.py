@@ -723,9 +723,22 @@ def test_warc_round_trip(spark, tmp_path):
 
     first = sorted((tmp_path / "a").glob("*.warc.gz"))[0]
     assert gzip.decompress(first.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
-    first.write_bytes(first.read_bytes()[:-40])
-    with pytest.raises(Exception):
+    damaged = bytearray(first.read_bytes())
+    damaged[-30] ^= 1
+    first.write_bytes(damaged)
+    with pytest.raises(Exception, match="damaged file"):
         got.collect()
+    first.unlink()
+    with pytest.raises(ValueError, match="its manifest lists"):
+        warc.read(spark, folder)
+
+
+def test_rows_without_an_id_spread_over_shards(spark, tmp_path):
+    rows = [(None, None, f"<p>{i} " + "x" * 500) for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = warc.write(pages, f"file://{tmp_path}/n", shard_bytes=4_000, roll_bytes=10_000).collect()
+    assert len({f["shard"] for f in files}) > 8 and sum(f["records"] for f in files) == 80
+    assert warc.read(spark, f"file://{tmp_path}/n").select("payload").distinct().count() == 80
 
 
 def test_warc_empty(spark, tmp_path):

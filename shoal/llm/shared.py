@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -47,7 +48,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shoal_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, when nothing reads them any more, and let Spark's cleaner
+    delete the shuffles that made them: it waits for the driver's garbage collection."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.shoal_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    for t in tables[:1]:
+        t.sparkSession._jvm.System.gc()
 
 
 def drop_tables(spark: SparkSession) -> None:

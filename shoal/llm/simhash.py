@@ -34,11 +34,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, row_key, rows_with, texts_of, written
+from .shared import arrow_map, discard, row_key, rows_with, texts_of, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -136,9 +135,10 @@ def near_codewords(words: np.ndarray) -> np.ndarray:
     return words[:, None] ^ patterns[low[words & 0xFFF] ^ high[words >> 12]]
 
 
-def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fuzzy_keys(fps: np.ndarray, triples: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, filed) for unsigned fingerprints: filed keys are a fingerprint's own,
-    the others are those that it looks up."""
+    the others are those that it looks up.  Without ``triples`` the key of three
+    codewords is left out, and with it only pairs of one error in each segment."""
     parts = [((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
     near = [near_codewords(p) for p in parts]
     many = [n[:, 1] != n[:, 0] for n in near]
@@ -160,6 +160,8 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 for c in range(1, 6):
                     put(kind, parts[i][some], near[j][some, c], some, False)
                 kind += 1
+    if not triples:
+        return np.concatenate(rows), np.concatenate(keys), np.concatenate(filed)
     index = [n >> 11 for n in near]  # the 12 data bits of a codeword
     put(kind, index[0][:, 0] << 1, index[1][:, 0] << 12 | index[2][:, 0], number, True)
     for a, b, c in product(range(6), repeat=3):
@@ -168,32 +170,27 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(filed)
 
 
-def _keys(batches):
-    for batch in batches:
-        fps = batch.column("fp").to_numpy()
-        rows, keys, filed = fuzzy_keys(fps.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows]), pa.array(filed)], ["key", "fp", "filed"])
-
-
-def _own(batches):
-    for b in _keys(batches):
-        yield pa.RecordBatch.from_arrays(b.columns[:2], ["key", "fp"]).filter(b.column("filed"))
-
+def _keys(own: bool, triples: bool):
+    def run(batches):
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            rows, keys, filed = fuzzy_keys(fps.view(np.uint64), triples)
+            some = filed == own
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(fps[rows[some]])], ["key", "fp"])
 
-def _looked_up(batches):
-    for b in _keys(batches):
-        yield pa.RecordBatch.from_arrays(b.columns[:2], ["key", "fp"]).filter(pa.compute.invert(b.column("filed")))
+    return run
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, triples: bool = True) -> DataFrame:
     """(a, b), a < b: verified links between the distinct fingerprints of ``nodes``.
 
     When a looks b up it finds b's own key and the other way round, so it is enough
-    that every node is filed once and looks up once.
+    that every node is filed once and looks up once.  All links are found with ``triples``;
+    without, those of all pairs within two bits and most within three, for a fifth of the keys.
     """
     schema = "key long, fp long"
-    filed = arrow_map(nodes, _own, schema, rows=4096)
-    asked = arrow_map(nodes, _looked_up, schema, rows=4096).withColumnRenamed("fp", "other")
+    filed = arrow_map(nodes, _keys(True, triples), schema)
+    asked = arrow_map(nodes, _keys(False, triples), schema).withColumnRenamed("fp", "other")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_BITS
     found = asked.join(filed, "key").filter((F.col("fp") != F.col("other")) & near)
     return found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
@@ -223,7 +220,8 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
         low = least_of(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low).filter("u != v").distinct()
-        pairs = written(small.select("u", "v"), label)
+        before, pairs = pairs, written(small.select("u", "v"), label)
+        discard(before)
         now = state(pairs)
         if now == was:
             break

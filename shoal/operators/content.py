@@ -39,6 +39,10 @@ def postings_table(docs: DataFrame, key: str = "path", text: str = "text") -> Da
     return rows.select("doc", "term", F.size("positions").alias("tf"), "positions")
 
 
+def _totals(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+
+
 def upsert(old: DataFrame, new: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """An index table with the rows of documents in ``new`` replaced, those in ``removed`` gone."""
     gone = new.select("doc")
@@ -79,20 +83,35 @@ def _can_match_without_words(tree: Tree) -> bool:
 class ContentIndex:
     documents: DataFrame
     postings: DataFrame
+    #: One row n, mean: documents and their mean length; derived where an index was not saved.
+    totals: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, key: str = "path", text: str = "text", shard: str | None = None) -> "ContentIndex":
         return cls(documents_table(docs, key, text, shard), postings_table(docs, key, text))
 
     @classmethod
-    def load(cls, spark, folder: str) -> "ContentIndex":
-        return cls(spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/postings"))
-
-    def save(self, folder: str) -> None:
-        """Postings are range-sorted by term, so that a query's scan skips to its terms."""
-        self.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-        parts = int(self.documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartitionByRange(parts, "term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{folder}/postings")
+    def load(cls, spark, folder: str, generation: int | None = None) -> "ContentIndex":
+        """The latest complete generation, or the one asked for."""
+        from shoal.sources.snapshot import generations
+
+        at = f"{folder}/gen={max(generations(spark, folder)) if generation is None else generation}"
+        return cls(*[spark.read.parquet(f"{at}/{t}") for t in ("documents", "postings", "totals")])
+
+    def save(self, folder: str) -> int:
+        """Write the next generation, whose marker comes last: readers see the one before or all of this, and an
+        index may be saved over the folder that it was loaded from.  Postings are range-sorted by
+        term, so that a query's scan skips to its terms."""
+        from shoal.sources.snapshot import generations, save_json
+
+        spark = self.documents.sparkSession
+        generation = max(generations(spark, folder), default=0) + 1
+        at, parts = f"{folder}/gen={generation}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.documents.write.mode("overwrite").parquet(f"{at}/documents")
+        self.postings.repartitionByRange(parts, "term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{at}/postings")
+        _totals(spark.read.parquet(f"{at}/documents")).write.mode("overwrite").parquet(f"{at}/totals")
+        save_json(spark, f"{at}/_SUCCESS", {})
+        return generation
 
     def upsert(self, docs: DataFrame, removed: DataFrame | None = None, key: str = "path", text: str = "text", shard: str | None = None) -> "ContentIndex":
         new = ContentIndex.build(docs, key, text, shard)
@@ -121,7 +140,7 @@ class ContentIndex:
         rows = rows.select("doc", *[v.alias(c) for c, v in counts.items()])
         how = "left" if _can_match_without_words(tree) else "inner"
         rows = self.documents.select("doc", "shard", "length").join(rows, "doc", how).fillna(0, list(counts))
-        totals = self.documents.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()  # one row
+        totals = (_totals(self.documents) if self.totals is None else self.totals).first()  # one row
         plus = [column[leaf] for leaf, positive in found if positive]
         weight = F.lit(0.0)
         if plus:
@@ -158,6 +177,18 @@ class ContentIndex:
         percent = F.when(top > 0, F.round(100 * F.col("weight") / top)).otherwise(100).cast("int")
         return best.select("doc", "shard", percent.alias("relevance_percent"), "weight").orderBy(*order)
 
+    def shard_pages(self, text: str, each: int) -> DataFrame:
+        """doc, shard, relevance_percent, weight of the best ``each`` documents of every shard; the
+        percentages are shares of the shard's own best weight."""
+        found = self.matches(text) if each > 0 else None
+        if found is None:
+            return self.search(text, 0)
+        own = W.partitionBy("shard")
+        ranked = found.withColumn("n", F.row_number().over(own.orderBy(F.desc("weight"), F.lower(F.col("doc").cast("string"))))).filter(F.col("n") <= each)
+        top = F.max("weight").over(own)
+        percent = F.when(top > 0, F.round(100 * F.col("weight") / top)).otherwise(100).cast("int")
+        return ranked.select("doc", "shard", percent.alias("relevance_percent"), "weight")
+
     def estimated_matches(self, text: str) -> int:
         found = self.matches(text)
         return 0 if found is None else found.count()
@@ -210,9 +241,9 @@ def snippet(text: str, wanted: list[tuple[tuple[str, ...], bool]], most: int = S
     return head + text[begin:end] + tail, marks
 
 
-def merge_shards(parts: list[DataFrame], limit: int) -> DataFrame:
-    """Results of several shards: by relevance, then lower-cased doc."""
-    rows = reduce(DataFrame.unionByName, parts)
+def merge_shards(parts: DataFrame | list[DataFrame], limit: int) -> DataFrame:
+    """Results of several shards, in one table or one each: by relevance, then lower-cased doc."""
+    rows = reduce(DataFrame.unionByName, parts) if isinstance(parts, list) else parts
     return rows.orderBy(F.desc("relevance_percent"), F.lower(F.col("doc").cast("string"))).limit(limit)
 
 
@@ -234,7 +265,7 @@ def normal_path(path: str) -> str:
 def normalise_roots(roots: list[str]) -> list[str]:
     """Roots without those that another covers."""
     out: list[str] = []
-    for root in sorted({normal_path(r) for r in roots}, key=lambda r: (len(r), r.lower())):
+    for root in sorted({normal_path(r) for r in roots}, key=lambda r: (len(r), r.lower(), r)):
         if not any(root.lower() == o.lower() or root.lower().startswith(o.lower() + "\\") for o in out):
             out.append(root)
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoal.tables import written
+
 #: Parents that a path can have; beyond that it counts as a cycle.
 MAX_DEPTH = 512
 ORPHANS, CYCLES = "$OrphanFiles", "$Cycle"
@@ -31,10 +33,23 @@ def with_child_facts(catalog: DataFrame, counts: bool = True, flags: dict[str, C
     return catalog.join(facts, F.col("id") == F.col("__parent"), "left").drop("__parent")
 
 
-def _recursive(spark, text: str) -> DataFrame:
-    """A recursive query without a limit on its rows; its levels are limited by the text."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(text)
+def _levels(nodes: DataFrame, seeds: DataFrame, step) -> DataFrame:
+    """The seeds and, level by level, what ``step`` makes of each child and its parent's row.
+
+    ``nodes`` is a written table.  Each level is written once and only joins the level before it,
+    so nothing is derived twice and a level may be lost and read again; the number of levels is that of the
+    tree, at most ``MAX_DEPTH``.  No id is reached twice: a node has one parent, and seeds are roots.
+    """
+    level, found = written(seeds, "level"), []
+    for _ in range(MAX_DEPTH):
+        if level.isEmpty():
+            break
+        found.append(level)
+        level = written(step(nodes, level), "level")
+    else:
+        found += [] if level.isEmpty() else [level]
+    rows = found[0] if found else level
+    return rows.sparkSession.read.schema(rows.schema).parquet(*[t.shoal_path for t in found]) if found else rows
 
 
 def derive_paths(nodes: DataFrame, root_id: int, root_path: str) -> DataFrame:
@@ -43,36 +58,27 @@ def derive_paths(nodes: DataFrame, root_id: int, root_path: str) -> DataFrame:
     A node whose parent is absent lies under ``$OrphanFiles``, with its descendants below
     it; one in or below a cycle, or deeper than the cap, is put flat under ``$Cycle``.
     """
-    spark = nodes.sparkSession
-    plain = nodes.select("id", "parent_id", "name").filter(F.col("id") != root_id)
+    plain = written(nodes.select("id", "parent_id", "name").filter(F.col("id") != root_id), "nodes")
     ids = plain.select(F.col("id").alias("pid"))
     top = plain.filter(F.col("parent_id") == root_id).select("id", F.concat(F.lit(root_path + "\\"), "name").alias("path"))
     lost = plain.filter(F.col("parent_id") != root_id).join(ids, F.col("parent_id") == F.col("pid"), "left_anti")
     lost = lost.select("id", F.concat(F.lit(f"{root_path}\\{ORPHANS}\\"), "name").alias("path"))
-    plain.createOrReplaceTempView("shoal_nodes")
-    top.union(lost).createOrReplaceTempView("shoal_seeds")
-    found = _recursive(
-        spark,
-        f"""with recursive walk(id, path) max recursion level {MAX_DEPTH} as (
-              select id, path from shoal_seeds
-              union all
-              select n.id, concat(w.path, '\\\\', n.name) from walk w join shoal_nodes n on n.parent_id = w.id)
-            select id, path from walk"""
-    )
+
+    def step(nodes: DataFrame, level: DataFrame) -> DataFrame:
+        above = level.select(F.col("id").alias("above"), "path")
+        return nodes.join(above, F.col("parent_id") == F.col("above")).select("id", F.concat_ws("\\", "path", "name").alias("path"))
+
+    found = _levels(plain, top.union(lost), step)
     rest = plain.join(found.select("id"), "id", "left_anti")
     return found.union(rest.select("id", F.concat(F.lit(f"{root_path}\\{CYCLES}\\"), "name")))
 
 
 def descendants(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """id, top of every node below the ids of ``changed`` (itself included)."""
-    spark = nodes.sparkSession
-    nodes.select("id", "parent_id").createOrReplaceTempView("shoal_tree")
-    changed.select("id").distinct().createOrReplaceTempView("shoal_changed")
-    return _recursive(
-        spark,
-        f"""with recursive below(id, top) max recursion level {MAX_DEPTH} as (
-              select id, id from shoal_changed
-              union all
-              select t.id, b.top from below b join shoal_tree t on t.parent_id = b.id and t.id <> t.parent_id)
-            select id, top from below"""
-    )
+    plain = written(nodes.select("id", "parent_id").filter("id <> parent_id"), "nodes")
+
+    def step(nodes: DataFrame, level: DataFrame) -> DataFrame:
+        return nodes.join(level.select(F.col("id").alias("above"), "top"), F.col("parent_id") == F.col("above")).select("id", "top")
+
+    seeds = changed.select("id").distinct()
+    return _levels(plain, seeds.select("id", F.col("id").alias("top")), step)

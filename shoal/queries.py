@@ -12,6 +12,7 @@ from shoal.model import SearchOptions
 from shoal.operators import content, hierarchy, incremental
 from shoal.operators.search import Catalog, compose, history_order, unsigned, with_run_history
 from shoal.sources import virtual as V
+from shoal.tables import new_path
 
 #: The moment that relative dates are read at.
 NOW = datetime(2024, 2, 1, 12, 0, tzinfo=timezone.utc)
@@ -52,9 +53,19 @@ PRELUDE = {
     order by l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as rn from lineitem)
   union all select 2000000000 + o_orderkey, 1000000000 + o_custkey, 'order_' || o_orderkey, true, 0 from orders
   union all select 1000000000 + c_custkey, 1, c_name, true, 0 from customer""",
+    "odd": """
+  select 5000000000 + s_suppkey as id, 6000000000 + s_suppkey as parent_id, 'stray_' || s_suppkey as name from supplier
+  union all select 6500000000 + s_suppkey, 5000000000 + s_suppkey, 'below_' || s_suppkey from supplier
+  union all select 7000000000 + n_nationkey, 7000000000 + (n_nationkey + 1) % 25, n_name from nation
+  union all select 7100000000 + n_nationkey, 7000000000 + n_nationkey, 'under_' || n_name from nation
+  union all select 8000000000 + p_partkey, case when p_partkey % 40 = 0 then 1 else 8000000000 + p_partkey - 1 end, 'deep_' || p_partkey
+    from part where p_partkey >= 40 and p_partkey < 4000""",
     "paged": """
   select page_id as id, 'D:' || chr(92) || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || chr(92)
     || replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/', chr(92)) as path, length(html)::bigint as size from pages""",
+    "rooted": """
+  select page_id as id, 'D:' || chr(92) || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || case when page_id % 3 = 0 then ''
+    else chr(92) || replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/', chr(92)) end as path from pages""",
     "parts": "select p_partkey as id, p_name || '.' || lower(p_type) as name, p_size::bigint * 1024 as size from part",
     "journal": """
   select event_id as usn, user_id as file_id, event_id % 50 as parent_id,
@@ -86,7 +97,7 @@ def query(name: str):
 
 # -- predicates --------------------------------------------------------------------------
 
-KINDS = {"files": V.files, "words": lambda s, d: V.files(s, d, "word"), "paged": V.page_paths, "parts": V.parts}
+KINDS = {"rooted": V.rooted_pages, "files": V.files, "words": lambda s, d: V.files(s, d, "word"), "paged": V.page_paths, "parts": V.parts}
 
 
 def search_query(name: str, kind: str, text: str, where: str, score: str = "0", **options) -> None:
@@ -134,8 +145,8 @@ search_query("startwith", "files", "startwith:Doc_2", "starts_with(lower(name),
 search_query("endwith", "files", "endwith:7.log", "ends_with(lower(name), '7.log')", points("7.log"))
 search_query("len_cmp", "files", "len:>14", "length(name) > 14")
 search_query("len_range", "files", "len:12..13", "length(name) between 12 and 13")
-search_query("depth_cmp", "paged", "depth:>=2", "len(list_filter(string_split(path, chr(92)), lambda x: x <> '')) - 2 + (ends_with(path, chr(92)) and path <> '')::int * 0 >= 2")
-search_query("root", "parts", "root:", "true")
+search_query("depth_cmp", "paged", "depth:>=2", "len(list_filter(string_split(path, chr(92)), lambda x: x <> '')) >= 4")
+search_query("root", "rooted", "root:", "len(list_filter(string_split(path, chr(92)), lambda x: x <> '')) = 2")
 search_query("parent_exact", "files", "parent:d:\\EN\\src3", "lower(parent) = 'd:\\en\\src3'")
 search_query("size_cmp", "files", "size:>=2kb", "size >= 2048")
 search_query("size_range", "files", "size:1kb-4kb", "size between 1024 and 4096")
@@ -144,11 +155,14 @@ search_query("date_day", "files", "dm:2024-01-05", f"mtime >= 133485408000000000
 search_query("date_cmp", "files", "modified:<2024-01-08T06:30", f"mtime < 133485408000000000 + 7 * {DAY} + 234000000000")
 search_query("date_month", "files", "date:january", f"mtime >= 133485408000000000 and mtime < 133485408000000000 + 31 * {DAY}")
 search_query("date_week", "files", "dm:lastweek OR dm:monday", f"mtime >= 133485408000000000 + 21 * {DAY} and mtime < 133485408000000000 + 28 * {DAY} or mtime >= 133485408000000000 + 28 * {DAY} and mtime < 133485408000000000 + 29 * {DAY}")
+search_query("date_today", "files", "dm:today OR dm:yesterday", f"mtime >= 133485408000000000 + 30 * {DAY} and mtime < 133485408000000000 + 32 * {DAY}")
+search_query("date_this", "files", "dm:thisweek", f"mtime >= 133485408000000000 + 28 * {DAY} and mtime < 133485408000000000 + 32 * {DAY}")
+search_query("date_past", "files", "dm:pastweek", f"mtime >= 133485408000000000 + 24 * {DAY} + {DAY // 2}")
+search_query("date_next", "files", "dm:nextweek OR dm:nextmonth", f"mtime >= 133485408000000000 + 35 * {DAY} and mtime < 133485408000000000 + 42 * {DAY} or mtime >= 133485408000000000 + 60 * {DAY} and mtime < 133485408000000000 + 91 * {DAY}")
 search_query("date_rolling", "files", "datemodified:last10days", f"mtime >= 133485408000000000 + 21 * {DAY} + {DAY // 2}")
 search_query("date_coming", "files", "dm:next36hours", f"mtime >= 133485408000000000 + 31 * {DAY} + {DAY // 2} and mtime < 133485408000000000 + 33 * {DAY}")
 search_query("attr_all", "files", "attr:hidden,readonly", "attributes & 3 = 3")
 search_query("attr_absent", "files", "attr:!h", "attributes & 2 <> 2")
-search_query("file_only", "files", "file:", "true")
 search_query("case_on", "words", "case:on The", "contains(name, 'The')", points("The", subject="name"))
 search_query("whole_word", "parts", "wholeword:yes small", "regexp_matches(lower(name), '(^|[^\\p{L}\\p{N}_])small($|[^\\p{L}\\p{N}_])')", points("small"))
 search_query("fold_diacritics", "words", "ele", "contains(strip_accents(lower(name)), 'ele')", points("ele", subject="strip_accents(lower(name))"), match_diacritics=False)
@@ -177,6 +191,7 @@ child_query("childcount", "childcount:>=9", "directory and coalesce(n, 0) >= 9")
 child_query("childfilecount", "childfilecount:3-4", "directory and coalesce(files, 0) between 3 and 4")
 child_query("childfoldercount", "folder: childfoldercount:>12", "directory and coalesce(folders, 0) > 12")
 child_query("folder_only", "folder: order_1", "directory and contains(lower(name), 'order_1')", points("order_1"))
+child_query("file_only", "file: item", "not directory and contains(lower(name), 'item')", points("item"))
 child_query("not_empty", "!empty: order_12", "not (directory and coalesce(n, 0) = 0) and contains(lower(name), 'order_12')", points("order_12"))
 
 
@@ -229,24 +244,32 @@ dupe_query("dupe_name_size", "name-size", "lower(name), size")
 
 @query("path_derivation")
 def _(spark, sf_dir):
-    return hierarchy.derive_paths(V.tree_nodes(spark, sf_dir), 1, "D:")
+    nodes = V.tree_nodes(spark, sf_dir).select("id", "parent_id", "name").union(V.odd_nodes(spark, sf_dir))
+    return hierarchy.derive_paths(nodes, 1, "D:")
 
 
-sql("path_derivation", "tree", select="""
-  , c as (select id, 'D:' || chr(92) || name as path from tree where parent_id = 1),
+sql("path_derivation", "tree", "odd", select="""
+  , n as (select id, parent_id, name from tree union all select * from odd),
+  c as (select id, 'D:' || chr(92) || name as path from n where parent_id = 1),
   o as (select t.id, c.path || chr(92) || t.name as path from tree t join c on t.parent_id = c.id),
-  l as (select t.id, o.path || chr(92) || t.name as path from tree t join o on t.parent_id = o.id)
-  select * from c union all select * from o union all select * from l""")
+  l as (select t.id, o.path || chr(92) || t.name as path from tree t join o on t.parent_id = o.id),
+  lost as (select id, 'D:' || chr(92) || '$OrphanFiles' || chr(92) || name as path from odd where parent_id between 6000000000 and 6099999999),
+  below as (select t.id, x.path || chr(92) || t.name as path from odd t join lost x on t.parent_id = x.id),
+  ring as (select id, 'D:' || chr(92) || '$Cycle' || chr(92) || name as path from odd where id between 7000000000 and 7999999999),
+  chain as (select id, 'D:' || chr(92) || array_to_string(list_transform(
+      range((id - 8000000000) // 40 * 40, id - 8000000000 + 1), lambda i: 'deep_' || i), chr(92)) as path from odd where id >= 8000000000)
+  select * from (select * from c where id < 6000000000) union all select * from o union all select * from l union all select * from lost
+  union all select * from below union all select * from ring union all select * from chain""")
 
 
 @query("affected_descendants")
 def _(spark, sf_dir):
     nodes = V.tree_nodes(spark, sf_dir)
-    return hierarchy.descendants(nodes, nodes.filter("id between 1000000001 and 1000000040"))
+    return hierarchy.descendants(nodes, nodes.filter("id between 1000000001 and 1999999999"))
 
 
 sql("affected_descendants", "tree", select="""
-  , c as (select id, id as top from tree where id between 1000000001 and 1000000040),
+  , c as (select id, id as top from tree where id between 1000000001 and 1999999999),
   o as (select t.id, c.top from tree t join c on t.parent_id = c.id),
   l as (select t.id, o.top from tree t join o on t.parent_id = o.id)
   select * from c union all select * from o union all select * from l""")
@@ -292,7 +315,7 @@ sql("live_view", "files", select=DELTA_SQL)
 def _(spark, sf_dir):
     from shoal.sources.snapshot import read_snapshot, write_snapshot
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + "/compaction"
+    folder = new_path(spark, "compaction")
     generation = write_snapshot(incremental.apply_delta(*_delta(spark, sf_dir)), folder)
     return read_snapshot(spark, folder, generation).select("id", "name", "size")
 
@@ -405,6 +428,56 @@ def _(spark, sf_dir):
 sql("journal_state", "journal", select="select 0 as journal_id, min(usn) as first_usn, max(usn) + 1 as next_usn from journal")
 
 
+@query("log_replay")
+def _(spark, sf_dir):
+    """The journal as a log of six batches, and what is replayed from a cursor within the third."""
+    from shoal.sources.logs import JournalLog
+
+    rows = V.journal(spark, sf_dir)
+    low, high = rows.agg(F.min("usn"), F.max("usn") + 1).first()
+    log = JournalLog(spark, new_path(spark, "log"), "D:", 1)
+    ends = [low + (high - low) * i // 6 for i in range(7)]
+    for a, b in zip(ends, ends[1:]):
+        log.append(rows.filter((F.col("usn") >= a) & (F.col("usn") < b)), a, b)
+    return log.replay(low + (high - low) * 5 // 12, rows.schema)[0].select("usn", "file_id", "reason", "name")
+
+
+sql("log_replay", "journal", select="""
+  select usn, file_id, reason::bigint as reason, name from journal
+  where usn >= (select min(usn) + (max(usn) + 1 - min(usn)) * 5 // 12 from journal)""")
+
+
+def _hydrated(spark, sf_dir):
+    from shoal.sources.logs import HydrationLog, path_fingerprint
+
+    base = V.files(spark, sf_dir).select("id", "path", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("last_write_time"), F.lit(32).alias("attributes"))
+    log = HydrationLog(spark, new_path(spark, "hydration"), "D:", 1)
+    for part in (0, 1):
+        rows = base.filter((F.col("id") % 3 == 0) & (F.col("id") % 2 >= part))
+        seen = F.when(F.col("id") % 5 == 0, F.xxhash64(F.lit("moved"))).otherwise(path_fingerprint())
+        log.append(rows.select("id", seen.alias("path_fingerprint"), (F.col("id") + part).alias("size"), F.col("id").alias("last_write_time"), F.lit(33).alias("attributes")))
+    return log.replay(base.filter("id % 7 != 0"))
+
+
+@query("hydration_replay")
+def _(spark, sf_dir):
+    return _hydrated(spark, sf_dir)[0].select("id", "size", "last_write_time", "attributes")
+
+
+sql("hydration_replay", "files", select="""
+  select id, case when a then id + id % 2 else 0 end as size, case when a then id else 0 end as last_write_time, case when a then 33 else 32 end as attributes
+  from (select id, id % 3 = 0 and id % 5 <> 0 as a from files where id % 7 <> 0)""")
+
+
+@query("hydration_replay_counts")
+def _(spark, sf_dir):
+    return _hydrated(spark, sf_dir)[1]
+
+
+sql("hydration_replay_counts", "files", select="""
+  select count(*) filter (id % 5 <> 0 and id % 7 <> 0) as applied, count(*) filter (id % 5 = 0 or id % 7 = 0) as stale from files where id % 3 = 0""")
+
+
 @query("run_history_sort")
 def _(spark, sf_dir):
     rows = Catalog(V.files(spark, sf_dir)).rows
@@ -457,8 +530,19 @@ SQL["watch_bursts"] = """
 # -- content -----------------------------------------------------------------------------
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def _index(spark, sf_dir) -> content.ContentIndex:
-    return content.ContentIndex.build(V.table(spark, sf_dir, "documents"), key="doc_id", shard="source")
+    """The stored index of the documents: built and saved once a session, then only read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, sf_dir, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength())
+    if key not in _STORED:
+        folder = new_path(spark, "content")
+        content.ContentIndex.build(V.table(spark, sf_dir, "documents"), key="doc_id", shard="source").save(folder)
+        _STORED[key] = folder
+    return content.ContentIndex.load(spark, _STORED[key])
 
 
 def content_query(name: str, text: str, where: str, terms: list[str], extra: str = "") -> None:
@@ -511,15 +595,15 @@ sql("content_bm25_topk", "tokens", select=f"""{BM25}, t as (select * from w orde
 
 @query("content_shard_merge")
 def _(spark, sf_dir):
+    """Every shard is searched by itself, so its percentages are those of its own best; all are merged."""
     index = _index(spark, sf_dir)
-    page = index.search("idiot OR the", 200)
-    shards = [page.filter(F.col("shard") == s) for s in ("src0", "src1", "src2")]
-    return content.merge_shards(shards, 20).select("doc", "shard", "relevance_percent")
+    return content.merge_shards(index.shard_pages("idiot OR the", 20), 100).select("doc", "shard", "relevance_percent")
 
 
-sql("content_shard_merge", "tokens", select=f"""{BM25}, t as (select * from w order by weight desc, lower(doc::varchar) limit 200),
-  p as (select doc, shard, round(100 * weight / max(weight) over ())::int as relevance_percent from t)
-  select * from p where shard in ('src0', 'src1', 'src2') order by relevance_percent desc, lower(doc::varchar) limit 20""")
+sql("content_shard_merge", "tokens", select=f"""{BM25},
+  own as (select *, row_number() over (partition by shard order by weight desc, lower(doc::varchar)) as n, max(weight) over (partition by shard) as top from w)
+  select doc, shard, round(100 * weight / top)::int as relevance_percent from own where n <= 20
+  order by relevance_percent desc, lower(doc::varchar) limit 100""")
 
 
 @query("content_shard_topk")
@@ -572,16 +656,18 @@ sql("content_path_filter", "files", select="select id, path from files where lan
 def _(spark, sf_dir):
     from shoal.sources.extract import is_supported
 
-    return V.page_paths(spark, sf_dir).filter(is_supported(F.col("path"))).select("id", "path")
+    return V.typed_files(spark, sf_dir).filter(is_supported(F.col("path"))).select("id", "path")
 
 
-sql("content_supported", "paged", select="select id, path from paged where regexp_matches(lower(path), '\\.(html|htm|txt|md|log|csv|json|xml)$')")
+sql("content_supported", select=f"""
+  select id, path from (select p_partkey as id, 'D:' || chr(92) || 'f' || p_partkey || '.' || {V.EXTENSIONS!r}[p_partkey % {len(V.EXTENSIONS)} + 1] as path from part)
+  where regexp_matches(lower(path), '\\.({"|".join(V.SUPPORTED)})$')""")
 
 
 @query("content_upsert")
 def _(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    index = content.ContentIndex.build(docs, key="doc_id", shard="source")
+    index = _index(spark, sf_dir)
     new = docs.filter("doc_id % 20 = 0").withColumn("text", F.lit("fresh marker text"))
     return index.upsert(new, docs.filter("doc_id % 20 = 1").select(F.col("doc_id").alias("doc")), key="doc_id", shard="source").matches("the OR marker").select("doc")
 
@@ -598,7 +684,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from shoal.sources.snapshot import read_snapshot, write_snapshot
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + "/snapshot"
+    folder = new_path(spark, "snapshot")
     generation = write_snapshot(V.files(spark, sf_dir), folder)
     return read_snapshot(spark, folder, generation).select("id", "path", "size")
 
@@ -610,7 +696,7 @@ sql("snapshot_round_trip", "files", select="select id, path, size from files")
 def _(spark, sf_dir):
     from shoal.sources import efu
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + "/efu"
+    folder = new_path(spark, "efu")
     efu.write(V.files(spark, sf_dir), folder)
     return efu.read(spark, folder).select("path", "name", "size", "last_write_time", "attributes")
 

@@ -28,6 +28,8 @@ SUPPORTED = (
 #: Bytes of the head that are searched for a NUL.
 BINARY_HEAD = 4096
 MAX_BYTES = 32 << 20
+#: Bytes that a file may unpack to.
+MAX_UNPACKED = 256 << 20
 
 
 class Unreadable(ValueError):
@@ -51,24 +53,29 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 def docx_text(data: bytes) -> str:
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            root = ElementTree.fromstring(z.read("word/document.xml"))
+        with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("word/document.xml") as f:
+            raw = f.read(MAX_UNPACKED + 1)
+        if len(raw) > MAX_UNPACKED:
+            raise Unreadable("unpacks to too much")
+        root = ElementTree.fromstring(raw)
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error) as e:
         raise Unreadable(f"not a document: {e}") from e
     out: list[str] = []
-
-    def walk(node) -> None:
+    # Depth first with a stack of its own, so that no nesting is too deep; a string is what ends a node.
+    pending: list = [root]
+    while pending:
+        node = pending.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
         tag = node.tag.rpartition("}")[2]
         if tag == "t":
             out.append((node.text or "") + " ")
         elif tag in ("tab", "br", "cr"):
             out.append("\t" if tag == "tab" else "\n")
-        for child in node:
-            walk(child)
         if tag == "p":
-            out.append("\n")
-
-    walk(root)
+            pending.append("\n")
+        pending.extend(reversed(node))
     text = "".join(out).strip()
     if not text:
         raise Unreadable("no text")
@@ -101,14 +108,17 @@ def pdf_text(data: bytes) -> str:
         raise Unreadable("not a PDF")
     if b"/Encrypt" in data:
         raise Unreadable("encrypted PDF")
-    out = []
+    out, unpacked = [], 0
     for m in re.finditer(rb"<<(?P<dict>(?:(?!endobj).)*?)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", data, re.S):
         body = m["body"]
         if b"/FlateDecode" in m["dict"]:
             try:
-                body = zlib.decompressobj().decompress(body)
+                body = zlib.decompressobj().decompress(body, MAX_UNPACKED - unpacked + 1)
             except zlib.error:
                 continue
+            unpacked += len(body)
+            if unpacked > MAX_UNPACKED:
+                raise Unreadable("unpacks to too much")
         elif b"/Filter" in m["dict"]:
             continue
         for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):

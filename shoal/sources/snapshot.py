@@ -40,19 +40,35 @@ def write_snapshot(catalog: DataFrame, folder: str, sort: str = "id") -> int:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = catalog.repartitionByRange(partitions, sort).sortWithinPartitions(sort)
     ordered.write.mode("overwrite").parquet(f"{folder}/gen={generation}")
+    save_json(spark, f"{folder}/checksum-{generation}.json", fingerprint(spark.read.parquet(f"{folder}/gen={generation}"), sort))
     return generation
 
 
-def read_snapshot(spark: SparkSession, folder: str, generation: int | None = None) -> DataFrame:
+def fingerprint(rows: DataFrame, key: str = "id") -> dict:
+    """Rows, distinct keys and a checksum that does not depend on the order of rows."""
+    plain = [c for c, t in rows.dtypes if "map" not in t]
+    got = rows.agg(F.count(F.lit(1)), F.count_distinct(key), F.coalesce(F.bit_xor(F.xxhash64(*plain)), F.lit(0))).first()
+    return {"rows": got[0], "keys": got[1], "checksum": got[2], "key": key}
+
+
+def read_snapshot(spark: SparkSession, folder: str, generation: int | None = None, verify: bool = False) -> DataFrame:
+    """A generation, by default the latest complete one.  ``verify`` reads it once more and fails when rows
+    were lost or changed since it was written, or its keys repeat."""
     if generation is None:
         generation = max(generations(spark, folder))
-    return spark.read.parquet(f"{folder}/gen={generation}")
+    rows = spark.read.parquet(f"{folder}/gen={generation}")
+    if verify:
+        was = load_json(spark, f"{folder}/checksum-{generation}.json")
+        if was is None or fingerprint(rows, was["key"]) != was or was["keys"] != was["rows"]:
+            raise ValueError(f"generation {generation} of {folder} is damaged")
+    return rows
 
 
 def drop_generations(spark: SparkSession, folder: str, keep: int = 2) -> None:
     for old in generations(spark, folder)[:-keep]:
-        path, fs = _fs(spark, f"{folder}/gen={old}")
-        fs.delete(path, True)
+        for name in (f"gen={old}", f"checksum-{old}.json"):
+            path, fs = _fs(spark, f"{folder}/{name}")
+            fs.delete(path, True)
 
 
 # -- checkpoints -------------------------------------------------------------------------
@@ -95,6 +111,28 @@ def save_json(spark: SparkSession, path: str, value: dict) -> None:
     fs.rename(temporary, target)
 
 
+def save_state(spark: SparkSession, folder: str, value: dict, keep: int = 5) -> None:
+    """Put down a state under the next number.  No file is ever replaced, so a crash at any point
+    leaves the state before or this one; older ones than ``keep`` are deleted after."""
+    numbers = _state_numbers(spark, folder)
+    save_json(spark, f"{folder}/state-{(numbers[-1] if numbers else 0) + 1:012d}.json", value)
+    for n in numbers[: -keep or None]:
+        path, fs = _fs(spark, f"{folder}/state-{n:012d}.json")
+        fs.delete(path, False)
+
+
+def load_state(spark: SparkSession, folder: str) -> dict | None:
+    """The state of the greatest number."""
+    numbers = _state_numbers(spark, folder)
+    return load_json(spark, f"{folder}/state-{numbers[-1]:012d}.json") if numbers else None
+
+
+def _state_numbers(spark: SparkSession, folder: str) -> list[int]:
+    path, fs = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"state-(\d+)\.json", n)))
+
+
 def load_json(spark: SparkSession, path: str) -> dict | None:
     target, fs = _fs(spark, path)
     if not fs.exists(target):

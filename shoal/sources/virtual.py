@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoal.sources.extract import SUPPORTED
+
+#: Extensions of files to try: all that have text, some in capitals, and some that have none.
+EXTENSIONS = [*SUPPORTED, "MD", "Docx", "exe", "PNG", "mdx", "tx", "zip"]
 #: 2024-01-01 as a FILETIME, and an hour.
 START, HOUR = 133_485_408_000_000_000, 36_000_000_000
 
@@ -95,3 +99,30 @@ def journal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 10 == 0).alias("directory"), (F.col("user_id") * 10).alias("size"), F.lit(START).alias("last_write_time"),
         F.when(F.col("user_id") % 10 == 0, 16).otherwise(32).alias("attributes"),
     )
+
+
+def odd_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strays (whose parent is absent) with a child each, a ring of parents with a child each, and chains of 40."""
+    supplier, nation, part = (table(spark, sf_dir, t) for t in ("supplier", "nation", "part"))
+    node = lambda i, parent, name: (i.cast("long").alias("id"), parent.cast("long").alias("parent_id"), name.alias("name"))
+    s, n, p = F.col("s_suppkey"), F.col("n_nationkey"), F.col("p_partkey")
+    named = lambda stem, c: F.concat(F.lit(stem), c.cast("string"))
+    rows = supplier.select(*node(5_000_000_000 + s, 6_000_000_000 + s, named("stray_", s)))
+    rows = rows.union(supplier.select(*node(6_500_000_000 + s, 5_000_000_000 + s, named("below_", s))))
+    rows = rows.union(nation.select(*node(7_000_000_000 + n, 7_000_000_000 + (n + 1) % 25, F.col("n_name"))))
+    rows = rows.union(nation.select(*node(7_100_000_000 + n, 7_000_000_000 + n, named("under_", F.col("n_name")))))
+    chains = part.filter((p >= 40) & (p < 4000))
+    return rows.union(chains.select(*node(8_000_000_000 + p, F.when(p % 40 == 0, 1).otherwise(8_000_000_000 + p - 1), named("deep_", p))))
+
+
+def rooted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as paths, every third one directly below the drive."""
+    rows = page_paths(spark, sf_dir)
+    path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("D:\\"), F.get(F.split("path", r"\\"), F.lit(1)))).otherwise(F.col("path"))
+    return rows.withColumn("path", path).withColumn("name", F.element_at(F.split("path", r"\\"), -1))
+
+
+def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files with every extension whose text can be read, and some others."""
+    kind = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % len(EXTENSIONS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("D:\\f"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"))

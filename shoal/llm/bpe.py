@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SHORT = 64
 #: Matches in each of a worker's two tables at most: when the newer one is full it
 #: becomes the older one, from which matches that are met again are carried over.
 REMEMBERED = 300_000
+#: Characters of a match that is remembered; with ``REMEMBERED`` this bounds the tables.
+LONGEST = 256
 NONE = np.int64(1) << np.int64(62)
 
 
@@ -183,15 +186,25 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         found = list(map(self.split.findall, texts))
-        pieces = set().union(*found)
-        new = pieces - self.seen.keys()
+        new = self.unknown(found)
         if len(self.seen) + len(new) > REMEMBERED:
-            self.older, self.seen, new = self.seen, {}, pieces
+            self.older, self.seen = self.seen, {}
+            new = self.unknown(found)
         again = new & self.older.keys()
         self.seen.update(zip(again, map(self.older.__getitem__, again)))
         self.learn(new - again)
         get = self.seen.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in found]
+        out = [b"".join(map(get, pieces)) for pieces in found]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.seen[piece]
+        return out
+
+    def unknown(self, found: list[list[str]]) -> set[str]:
+        new: set[str] = set()
+        for pieces in found:
+            new.update(filterfalse(self.seen.__contains__, pieces))
+        return new
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

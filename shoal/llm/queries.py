@@ -29,14 +29,18 @@ def op1_url_filter(spark, sf_dir):
     return out.select("page_id", "host", "path", "rule", "verdict", "n", *bounds)
 
 
+def line_counts(out):
+    """The operator's two counts come last, whatever columns the table has."""
+    had, lost = out.columns[-2:]
+    return out.select("doc_id", F.col(had).alias("n_lines"), F.col(lost).alias("n_removed"), "text")
+
+
 def op3_line_dedup(spark, sf_dir):
-    out = lines.without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", "text")
+    return line_counts(lines.without_repeats(table(spark, sf_dir, "documents")))
 
 
 def op3_shared_passages(spark, sf_dir):
-    out = passages.without_passages(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", "text")
+    return line_counts(passages.without_passages(table(spark, sf_dir, "documents")))
 
 
 def op4_syncmers(spark, sf_dir):

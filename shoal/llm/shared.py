@@ -2,73 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from shoal.ship import ship
+from shoal.tables import LOCAL_DIR, discard, drop_tables, new_path, shared_dir, written
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only by a local session that names no shared folder, as in tests.
-LOCAL_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).  A cluster must
-    name one; a session whose executors are the driver's own threads may leave it out."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = LOCAL_DIR
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def session_dir(spark: SparkSession) -> str:
-    """This application's own part of the shared folder."""
-    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread of Parquet files and
-    never a second pass over the texts.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.shoal_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made, when nothing reads them any more, and let Spark's cleaner
-    delete the shuffles that made them: it waits for the driver's garbage collection."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.shoal_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    for t in tables[:1]:
-        t.sparkSession._jvm.System.gc()
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables and archives that ``new_path`` named in this application, when no
-    result is read any more.  Other applications' tables stay."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["LOCAL_DIR", "discard", "drop_tables", "new_path", "shared_dir", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,9 +5,10 @@ all workers once: at most ``FREQUENT`` words, whatever the corpus.  Tier two is
 worker's own bounded cache, which the tokenizer library fills for pre-tokens that are in
 neither.  A text's count is the sum over its pre-tokens, so no pre-token is ever shuffled.
 
-The frequent words come from a count over all documents: each task sums the words that
-its batches have repeatedly in a bounded summary (when full, it drops the rarer half) and sends
-its ``SENT`` most frequent ones; what they are only decides what is fast, never what is counted.
+The choice of the frequent words is approximate: over all documents each task sums the words between
+spaces that a batch has ``RARE`` times or more, of up to 64 characters, in a bounded summary (when full, it drops the
+rarer half) and sends its ``SENT`` most frequent ones.  Only these summaries meet in a sum by word;
+no pre-token of a document is shuffled.  What they are decides what is fast, never what is counted.
 
 Defined cases: null text is the empty text with 0 tokens; a special token's string inside
 a text is one token, as the library has it; repeated rows repeat; an empty table gives
@@ -19,6 +20,7 @@ from __future__ import annotations
 import os
 import uuid
 from functools import cache, lru_cache
+from itertools import filterfalse
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,8 @@ FREQUENT, SENT, SUMMARY = 16_384, 4_096, 1 << 18
 RARE = 3
 #: Pre-tokens in a worker's cache at most; then it starts anew from tier one.
 REMEMBERED = 500_000
+#: Characters of a pre-token that is remembered; with ``REMEMBERED`` this bounds the cache.
+LONGEST = 256
 LIMIT = 512
 
 
@@ -72,14 +76,23 @@ class Counter:
 
     def counts(self, texts: list[str]) -> list[int]:
         found = [self.pieces(t) for t in texts]
-        met = set().union(*(f[0] for f in found))
-        new = met - self.lengths.keys()
+        new = self.unknown(found)
         if len(self.lengths) + len(new) > REMEMBERED + len(self.frequent):
             self.lengths = dict(self.frequent)
-            new = met - self.lengths.keys()
+            new = self.unknown(found)
         self.learn(list(new))
         length = self.lengths.__getitem__
-        return [sum(map(length, pieces)) + special for pieces, special in found]
+        out = [sum(map(length, pieces)) + special for pieces, special in found]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.lengths[piece]
+        return out
+
+    def unknown(self, found: list[tuple[list[str], int]]) -> set[str]:
+        new: set[str] = set()
+        for pieces, _ in found:
+            new.update(filterfalse(self.lengths.__contains__, pieces))
+        return new
 
 
 def _summaries(batches):

@@ -95,17 +95,20 @@ class Model:
 def ratios(found: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The naive Bayes log-count ratio of every feature, and the log-likelihood-ratio statistic of
     its difference between the classes."""
-    counts = np.zeros((2, 1 << BITS))
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for at, label in zip(found, labels):
         counts[label, at] += 1
     total = np.bincount(labels, minlength=2)
-    p, q = (counts[1] + 1) / (total[1] + 2), (counts[0] + 1) / (total[0] + 2)
-    mean = (counts[0] + counts[1] + 1) / (total.sum() + 2)
+    # Features differ by their two counts only, of which there are few: each is worked out once.
+    kinds, kind = np.unique(counts[0].astype(np.int64) << 32 | counts[1], return_inverse=True)
+    x, y = kinds & 0xFFFFFFFF, kinds >> 32
+    p, q = (x + 1) / (total[1] + 2), (y + 1) / (total[0] + 2)
+    mean = (x + y + 1) / (total.sum() + 2)
 
     def gain(x, n):
         return 2 * n * (x * np.log(x / mean) + (1 - x) * np.log((1 - x) / (1 - mean)))
 
-    return np.log(p / q), gain(p, total[1]) + gain(q, total[0])
+    return np.log(p / q).astype(np.float32)[kind], (gain(p, total[1]) + gain(q, total[0])).astype(np.float32)[kind]
 
 
 def fit(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, prior: float = 0.5) -> Model:
@@ -117,7 +120,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, prior:
     ratio, statistic = ratios(found, labels)
     found = [at[statistic[at] >= SIGNIFICANT] for at in found]
     kept = np.unique(np.concatenate(found))
-    scale, columns = ratio[kept], np.searchsorted(kept, np.concatenate(found))
+    scale, columns = ratio[kept].astype(float), np.searchsorted(kept, np.concatenate(found))
     ends = np.cumsum([len(at) for at in found])
     lengths, y, w = np.diff(ends, prepend=0), labels.astype(float), weight / weight.mean()
 
@@ -189,9 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.sha2("text", 256), "text")).alias("x"))
     rows = rows.select("doc_id", "toxic", F.col("x.text").alias("text"))
     got = arrow_map(rows, _features, "doc_id long, toxic int, found array<int>", rows=100).toArrow()
-    got = got.sort_by([("toxic", "ascending"), ("doc_id", "ascending")])
-    y = got.column("toxic").to_numpy().astype(np.int64)
-    found = [x.values.to_numpy() for x in got.column("found")]
+    order = np.lexsort((got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()))
+    y = got.column("toxic").to_numpy()[order].astype(np.int64)
+    found = got.column("found")
+    found = [found[int(i)].values.to_numpy() for i in order]
     n = np.bincount(y, minlength=2)
     weight = np.array([sizes.get(c, 0) / max(1, n[c]) for c in (0, 1)])
     all_rows = sum(sizes.values())

@@ -54,6 +54,8 @@ SORTS = (
 )
 #: Result caps: of a service answer, of a content search, of the command line.
 SERVICE_LIMIT, CONTENT_LIMIT, CLI_LIMIT = 1000, 500, 100
+#: Bytes of a service answer, and rows of the page that is shown while someone types.
+SERVICE_BYTES, FIRST_PAGE = 4 << 20, 200
 
 
 @dataclass(frozen=True)

@@ -57,20 +57,34 @@ def derive_paths(nodes: DataFrame, root_id: int, root_path: str) -> DataFrame:
 
     A node whose parent is absent lies under ``$OrphanFiles``, with its descendants below
     it; one in or below a cycle, or deeper than the cap, is put flat under ``$Cycle``.
-    """
-    plain = written(nodes.select("id", "parent_id", "name").filter(F.col("id") != root_id), "nodes")
-    ids = plain.select(F.col("id").alias("pid"))
-    top = plain.filter(F.col("parent_id") == root_id).select("id", F.concat(F.lit(root_path + "\\"), "name").alias("path"))
-    lost = plain.filter(F.col("parent_id") != root_id).join(ids, F.col("parent_id") == F.col("pid"), "left_anti")
-    lost = lost.select("id", F.concat(F.lit(f"{root_path}\\{ORPHANS}\\"), "name").alias("path"))
-
-    def step(nodes: DataFrame, level: DataFrame) -> DataFrame:
-        above = level.select(F.col("id").alias("above"), "path")
-        return nodes.join(above, F.col("parent_id") == F.col("above")).select("id", F.concat_ws("\\", "path", "name").alias("path"))
 
-    found = _levels(plain, top.union(lost), step)
-    rest = plain.join(found.select("id"), "id", "left_anti")
-    return found.union(rest.select("id", F.concat(F.lit(f"{root_path}\\{CYCLES}\\"), "name")))
+    Every node points to an ancestor and has the path from there.  A round joins the nodes that have not
+    arrived with what they point to, which doubles the stretch, so a tree of depth d takes log2(d) rounds; what
+    has arrived is not written again.  What has not after ``MAX_DEPTH`` parents is in or below a cycle.
+    """
+    plain = nodes.select("id", "parent_id", "name").filter(F.col("id") != root_id)
+    kind = F.when(F.col("parent_id") == root_id, "top")
+    state = plain.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.lit(1).alias("steps"), kind.alias("kind"))
+    state = written(state, "paths")
+    spark, arrived, away = state.sparkSession, state.filter("kind is not null"), state.filter("kind is null")
+    tables, rounds = [state], 0
+    while rounds < MAX_DEPTH.bit_length() and not away.isEmpty():
+        there = arrived.union(away).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("steps").alias("more"), F.col("kind").alias("found"))
+        met = away.drop("kind").join(there, "up", "left")
+        missing = F.col("next").isNull() & F.col("above").isNull()
+        moved = met.select(
+            "id", F.coalesce("next", "up").alias("up"), F.when(missing, F.col("path")).otherwise(F.concat_ws("\\", "above", "path")).alias("path"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.when(missing, "lost").otherwise(F.col("found")).alias("kind"),
+        )
+        tables.append(written(moved, "paths"))
+        away = tables[-1].filter("kind is null")
+        arrived = spark.read.schema(state.schema).parquet(*[t.shoal_path for t in tables]).filter("kind is not null")
+        rounds += 1
+    deep = F.col("steps") > MAX_DEPTH
+    above = F.when(F.col("kind") == "lost", f"{root_path}\\{ORPHANS}\\").otherwise(root_path + "\\")
+    out = arrived.filter(~deep).select("id", F.concat(above, "path").alias("path"))
+    rest = arrived.filter(deep).select("id").union(away.select("id"))
+    return out.union(plain.join(rest, "id", "left_semi").select("id", F.concat(F.lit(f"{root_path}\\{CYCLES}\\"), "name")))
 
 
 def descendants(nodes: DataFrame, changed: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone, tzinfo
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from shoal.functions.text import enrich, natural_key
-from shoal.model import RECORD, SERVICE_LIMIT, SearchOptions
+from shoal.model import FIRST_PAGE, RECORD, SERVICE_BYTES, SERVICE_LIMIT, SearchOptions
 from shoal.operators.hierarchy import with_child_facts
 from shoal.plans.compiler import Compiler, InvalidPattern
 from shoal.plans.parser import Query, QueryError, parse
@@ -107,9 +108,21 @@ class Catalog:
         return out.select(*shown)
 
 
-def serve(catalog: Catalog, text: str, options: SearchOptions) -> DataFrame:
-    """A search as a service answers it: at most ``SERVICE_LIMIT`` rows."""
-    return catalog.search(text, SearchOptions(**{**options.__dict__, "limit": min(options.limit, SERVICE_LIMIT)}))
+def serve(catalog: Catalog, text: str, options: SearchOptions, most_bytes: int = SERVICE_BYTES) -> DataFrame:
+    """A search as a service answers it: at most ``SERVICE_LIMIT`` rows, and of those the first that
+    fit ``most_bytes`` with names and paths in UTF-16 and 80 bytes of numbers a row."""
+    page = catalog.search(text, replace(options, limit=min(options.limit, SERVICE_LIMIT)), ranked=True)
+    size = 80 + F.octet_length(F.encode("name", "UTF-16BE")) + F.octet_length(F.encode("path", "UTF-16BE"))
+    upto = W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)  # a page at most
+    return page.withColumn("__bytes", F.sum(size).over(upto)).filter(F.col("__bytes") <= most_bytes).orderBy("rank").drop("__bytes", "rank")
+
+
+def interactive(catalog: Catalog, text: str, options: SearchOptions):
+    """The pages to show while someone types: the first ``FIRST_PAGE`` rows and, if there may be more, the whole page."""
+    first = catalog.search(text, replace(options, limit=min(options.limit, FIRST_PAGE))).toArrow()  # a page
+    yield catalog.rows.sparkSession.createDataFrame(first)
+    if first.num_rows == FIRST_PAGE < options.limit:
+        yield catalog.search(text, options)
 
 
 # -- rewriting by a client ---------------------------------------------------------------

@@ -677,7 +677,27 @@ sql("content_upsert", "tokens", select="select distinct doc_id as doc from token
 
 @query("content_hits")
 def _(spark, sf_dir):
-    return _index(spark, sf_dir).hits("idiot OR clown", 100)
+    out = _index(spark, sf_dir).hits("idiot OR clown", 100)
+    marks = F.transform("highlights", lambda h: F.concat_ws(":", h["start"].cast("string"), h["length"].cast("string")))
+    return out.withColumn("highlights", F.array_join(marks, " "))
+
+
+SQL["content_hits"] = f"""with tokens as ({PRELUDE['tokens']}) {BM25.replace("'idiot'", "'clown'").replace("'the'", "'idiot'")},
+  t as (select * from w order by weight desc, lower(doc::varchar) limit 100),
+  p as (select doc, shard, round(100 * weight / max(weight) over ())::int as relevance_percent, text from t join documents on doc_id = doc),
+  u as (select doc, unnest(l) as piece, generate_subscripts(l, 1) as n
+    from (select doc, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') as l from p)),
+  v as (select *, sum(length(piece)) over (partition by doc order by n) as e from u),
+  h as (select doc, e - length(piece) as s, e from v where lower(piece) in ('idiot', 'clown')),
+  c as (select a.doc, a.s, count(*) as many, max(b.e) as far from h a join h b on a.doc = b.doc and b.s >= a.s and b.e <= a.s + 260 group by a.doc, a.s),
+  best as (select * from c qualify row_number() over (partition by doc order by many desc, s) = 1),
+  b as (select p.*, greatest(0, least(s - (260 - (far - s)) // 2, length(text) - 260)) as begins from p join best using (doc)),
+  inside as (select b.doc, max(h.s) as s from b join h on h.doc = b.doc and h.s < begins and begins < h.e group by b.doc),
+  z as (select b.*, coalesce(inside.s, begins)::bigint as a, least(length(text), coalesce(inside.s, begins) + 260)::bigint as o from b left join inside using (doc)),
+  m as (select z.doc, string_agg((h.s - a + case when a > 0 then 3 else 0 end)::bigint || ':' || (h.e - h.s)::bigint, ' ' order by h.s) as highlights
+    from z join h on h.doc = z.doc and h.s >= a and h.e <= o group by z.doc)
+  select doc, shard, relevance_percent, case when a > 0 then '...' else '' end || substr(text, a + 1, o - a) || case when o < length(text) then '...' else '' end as snippet,
+    coalesce(highlights, '') as highlights from z left join m using (doc)"""
 
 
 @query("snapshot_round_trip")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_shoal_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp()) / "shoal.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves it until then
+    archive = Path(folder) / "shoal.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))

@@ -17,7 +17,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.cteRecursionRowLimit", "-1")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -119,6 +119,16 @@ def test_docx_and_pdf():
             extract.pdf_text(bad)
 
 
+def test_extraction_is_bounded(monkeypatch):
+    deep = "<w:p>" * 3000 + "<w:r><w:t>far down</w:t></w:r>" + "</w:p>" * 3000
+    assert extract.docx_text(docx(deep)) == "far down"
+    monkeypatch.setattr(extract, "MAX_UNPACKED", 5000)
+    with pytest.raises(Unreadable, match="too much"):
+        extract.docx_text(docx("<w:p><w:r><w:t>" + "a" * 6000 + "</w:t></w:r></w:p>"))
+    with pytest.raises(Unreadable, match="too much"):
+        extract.pdf_text(pdf(b"BT (" + b"a" * 6000 + b") Tj ET", True))
+
+
 def test_extract_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, data in {"a.txt": b"one", "sub/b.PDF": pdf(b"BT (two) Tj ET"), "c.docx": docx("<w:p><w:r><w:t>three</w:t></w:r></w:p>"), "d.exe": b"no", "e.md": b"x" * 500, "f.log": b"a\0", "g.doc": b"old"}.items():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions import text as T
 from shoal.model import SearchOptions, conform, to_filetime
-from shoal.operators.search import Catalog, compose, serve, with_run_history
+from shoal.operators.search import Catalog, compose, interactive, serve, with_run_history
 
 NOW = datetime(2024, 2, 15, 12, 30, tzinfo=timezone.utc)
 SCHEMA = "id long, parent_id long, name string, path string, directory boolean, size long, attributes int, last_write_time long"
@@ -265,3 +265,15 @@ def test_plan_keeps_to_the_columns_it_needs(spark, tmp_path):
     plan = c.search("size:>1kb", SearchOptions(sort="size"), ["id"])._jdf.queryExecution().toString()
     assert "text" not in plan.split("ReadSchema")[-1] and "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,1024)]" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+def test_pages_of_a_service_and_while_typing(spark):
+    rows = [(i, f"file{i:04d}.txt", f"D:\\file{i:04d}.txt") for i in range(450)]
+    c = Catalog(spark.createDataFrame(rows, "id long, name string, path string"))
+    options = SearchOptions(limit=400, sort="name")
+    each = 80 + 2 * len("file0000.txt") + 2 * len("D:\\file0000.txt")
+    got = serve(c, "file", options, most_bytes=each * 7 + each // 2).collect()
+    assert [r.id for r in got] == list(range(7)) and serve(c, "file", options).count() == 400
+    assert [p.count() for p in interactive(c, "file", options)] == [200, 400]
+    assert [p.count() for p in interactive(c, "file00", options)] == [100]
+    assert [p.count() for p in interactive(c, "file", SearchOptions(limit=200))] == [200]

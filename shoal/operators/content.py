@@ -300,4 +300,59 @@ def route(path: Column, roots: list[str]) -> Column:
     return out
 
 
-__all__ = ["ContentIndex", "Op", "words"]
+class ShardedContentIndex:
+    """An index of its own for each root.  Shards know only their own documents, so weights and percentages
+    are those of a shard; results are merged by percentage."""
+
+    def __init__(self, shards: dict[str, ContentIndex]):
+        roots = [normal_path(r) for r in shards]
+        if len(normalise_roots(roots)) != len(roots):
+            raise ValueError("roots overlap")
+        self.shards = dict(zip(roots, shards.values()))
+
+    @classmethod
+    def build(cls, docs: DataFrame, roots: list[str], text: str = "text") -> "ShardedContentIndex":
+        """Each document goes to the root that its path is in; see ``outside``."""
+        routed = docs.withColumn("__root", route(F.col("path"), roots))
+        return cls({r: ContentIndex.build(routed.filter(F.col("__root") == normal_path(r)).drop("__root"), text=text) for r in roots})
+
+    @classmethod
+    def load(cls, spark, folder: str, roots: list[str]) -> "ShardedContentIndex":
+        return cls({r: ContentIndex.load(spark, f"{folder}/{_folder_of(r)}") for r in roots})
+
+    def save(self, folder: str) -> None:
+        for root, index in self.shards.items():
+            index.save(f"{folder}/{_folder_of(root)}")
+
+    def outside(self, docs: DataFrame) -> DataFrame:
+        """Documents that no shard takes."""
+        return docs.filter(route(F.col("path"), list(self.shards)).isNull())
+
+    def upsert(self, docs: DataFrame, removed: DataFrame | None = None) -> "ShardedContentIndex":
+        """Only shards that a document of ``docs`` or a path of ``removed`` (doc) is in change.  Documents outside all
+        roots are refused."""
+        if not self.outside(docs).isEmpty():
+            raise ValueError("documents outside all roots")
+        out = {}
+        for root, index in self.shards.items():
+            gone = removed.filter(is_within(F.col("doc"), root)) if removed is not None else None
+            out[root] = index.upsert(docs.filter(is_within(F.col("path"), root)), gone)
+        return ShardedContentIndex(out)
+
+    def search(self, text: str, limit: int = 100) -> DataFrame:
+        """doc, relevance_percent, weight of the best of all shards, from the best ``limit`` of each."""
+        pages = [i.search(text, limit).select("doc", "relevance_percent", "weight") for i in self.shards.values()]
+        return merge_shards(pages, min(limit, CONTENT_LIMIT))
+
+    def estimated_matches(self, text: str) -> int:
+        return sum(i.estimated_matches(text) for i in self.shards.values())
+
+    def status(self, indexing: frozenset[str] = frozenset()) -> DataFrame:
+        return reduce(DataFrame.unionByName, [i.status(r in indexing).withColumn("shard", F.lit(r)) for r, i in self.shards.items()])
+
+
+def _folder_of(root: str) -> str:
+    return "".join(c if c.isalnum() else f"%{ord(c):X}" for c in normal_path(root).lower())
+
+
+__all__ = ["ContentIndex", "Op", "ShardedContentIndex", "words"]

@@ -617,6 +617,28 @@ sql("content_shard_topk", "tokens", select=f"""{BM25},
   select doc, shard, round(100 * weight / max(weight) over ())::int as relevance_percent from t""")
 
 
+@query("content_shards_of_roots")
+def _(spark, sf_dir):
+    path = F.concat(F.lit("D:\\"), "lang", F.lit("\\"), F.col("doc_id").cast("string"))
+    docs = V.table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    index = content.ShardedContentIndex.build(docs, ["D:\\en", "D:\\de", "d:/fr/", "D:\\es"])
+    return index.search("idiot OR the", 100).select("doc", "relevance_percent", F.round("weight", 6).alias("weight"))
+
+
+sql("content_shards_of_roots", "tokens", select="""
+  , len as (select d.doc_id, d.lang, coalesce(n, 0) as n from documents d left join (select doc_id, count(*) as n from tokens group by doc_id) using (doc_id)),
+  tot as (select lang, count(*)::double as docs, avg(n) as mean from len group by lang),
+  tf as (select doc_id, count(*) filter (term = 'idiot') as a, count(*) filter (term = 'the') as b from tokens where term in ('idiot', 'the') group by doc_id),
+  df as (select lang, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from tf join len using (doc_id) group by lang),
+  w as (select 'D:' || chr(92) || lang || chr(92) || doc_id as doc, lang,
+      ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.0::double / (a + 1.0::double * (0.5::double + 0.5::double * n / mean))
+      + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.0::double / (b + 1.0::double * (0.5::double + 0.5::double * n / mean)) as weight
+    from tf join len using (doc_id) join tot using (lang) join df using (lang)),
+  own as (select *, row_number() over (partition by lang order by weight desc, lower(doc)) as n, max(weight) over (partition by lang) as top from w)
+  select doc, round(100 * weight / top)::int as relevance_percent, round(weight, 6) as weight from own where n <= 100
+  order by relevance_percent desc, lower(doc) limit 100""")
+
+
 @query("content_estimated")
 def _(spark, sf_dir):
     return _index(spark, sf_dir).matches("the").agg(F.count(F.lit(1)).alias("estimated_matches"))

@@ -183,3 +183,21 @@ def test_scan(spark, tmp_path):
     assert got["f.txt"].parent_id == got["d"].id and got["link"].attributes & 0x400
     both, failed = scan.build_volumes(spark, {"A": str(tmp_path), "B": "/none"}, lambda root: scan.scan(spark, [root])[0] if root != "/none" else 1 / 0)
     assert {r.volume for r in both.select("volume").distinct().collect()} == {"A"} and set(failed) == {"B"}
+
+
+def test_shards_of_roots(spark, tmp_path):
+    docs = spark.createDataFrame([("D:\\a\\1", "red blue"), ("d:/A/2", "red"), ("E:\\b\\1", "blue red"), ("F:\\x", "red")], "path string, text string")
+    with pytest.raises(ValueError, match="overlap"):
+        content.ShardedContentIndex.build(docs, ["D:\\a", "D:\\a\\b"])
+    index = content.ShardedContentIndex.build(docs, ["D:\\a", "E:"])
+    assert [r.path for r in index.outside(docs).collect()] == ["F:\\x"] and index.estimated_matches("red") == 3
+    assert {r.doc for r in index.search("blue").collect()} == {"D:\\a\\1", "E:\\b\\1"}
+    assert {(r.shard, r.documents, r.indexing) for r in index.status(frozenset({"E:"})).collect()} == {("D:\\a", 2, False), ("E:", 1, True)}
+    with pytest.raises(ValueError, match="outside"):
+        index.upsert(docs)
+    index.save(str(tmp_path / "s"))
+    again = content.ShardedContentIndex.load(spark, str(tmp_path / "s"), ["D:\\a", "E:"])
+    new = docs.filter("path like 'E:%'").withColumn("text", F.lit("green"))
+    after = again.upsert(new, docs.filter("path like 'd:%'").select(F.col("path").alias("doc")))
+    assert after.estimated_matches("red") == 1 and [r.doc for r in after.search("green").collect()] == ["E:\\b\\1"]
+    assert content.overall_status(after.status()).first()["documents"] == 2

@@ -57,9 +57,14 @@ def discard(*tables: DataFrame) -> None:
     delete the shuffles that made them: it waits for the driver's garbage collection."""
     for t in tables:
         _delete(t.sparkSession, t.shoal_path)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffles of plans that nothing holds any more."""
     gc.collect()
-    for t in tables[:1]:
-        t.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def drop_tables(spark: SparkSession) -> None:

@@ -120,17 +120,19 @@ def quotas(goal: DataFrame, block_words: int, shards: int, max_repeat: int = 3)
 
 
 def positions(sizes: DataFrame) -> DataFrame:
-    """sizes with pos: words before the document in its source's seeded stream."""
+    """sizes with pos: words before the document in its source's seeded stream.  Rows that repeat in
+    everything are one row until they have their places, so no task holds many of them."""
     rows = sizes.agg(F.count(F.lit(1))).first()[0]
     bits = min(40, max(0, math.ceil(math.log2(max(1, rows / ROWS_PER_BUCKET)))))
     coarse_bits = min(12, bits)
+    sizes = sizes.groupBy(*sizes.columns).agg(F.count(F.lit(1)).alias("equal")).withColumn("all", F.col("size") * F.col("equal"))
     sizes = sizes.withColumn("fine", F.shiftright("h", HASH_BITS - bits))
 
     def before(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
 
-    fine = sizes.groupBy("skey", "fine").agg(F.sum("size").alias("words"))
+    fine = sizes.groupBy("skey", "fine").agg(F.sum("all").alias("words"))
     fine = fine.withColumn("coarse", F.shiftright("fine", bits - coarse_bits))
     coarse = fine.groupBy("skey", "coarse").agg(F.sum("words").alias("words"))
     coarse = before(coarse, ["skey"], ["coarse"], "words", "coarse_before").drop("words")
@@ -138,8 +140,9 @@ def positions(sizes: DataFrame) -> DataFrame:
     fine = fine.join(coarse, ["skey", "coarse"]).select(
         "skey", "fine", (F.col("coarse_before") + F.col("fine_before")).alias("start")
     )
-    rows = before(sizes, ["skey", "fine"], ["h", "doc_id", "size"], "size", "within")
-    return rows.join(fine, ["skey", "fine"]).withColumn("pos", F.col("start") + F.col("within"))
+    rows = before(sizes, ["skey", "fine"], ["h", "doc_id", "size"], "all", "within").join(fine, ["skey", "fine"])
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("equal") - 1)))
+    return rows.withColumn("pos", F.col("start") + F.col("within") + F.col("number") * F.col("size"))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, block_words: int = 16, shards: int = 8, seed: int = 7, key: Column | None = None):

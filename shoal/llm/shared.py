@@ -55,9 +55,10 @@ def rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``row_key`` is in the only column of ``keys``; of rows that
     repeat id and text, one.  Columns as given."""
     key, number = free_names(docs.columns, "key", "number")
-    rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"])).join(keys.toDF(key), key, "left_semi")
-    rows = rows.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
-    return rows.filter(F.col(number) == 1).select(*as_given(docs.columns))
+    rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
+    # The first of equal rows is taken within each task before they move, so repeats of any number are one row a task.
+    rows = rows.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key))).filter(F.col(number) == 1)
+    return rows.join(keys.toDF(key), key, "left_semi").select(*as_given(docs.columns))
 
 
 #: Rows and bytes of the Arrow batches that executors send to Python, where the session sets no bounds.

@@ -33,8 +33,9 @@ from .shared import arrow_map, texts_of
 FREQUENT, SENT, SUMMARY = 16_384, 4_096, 1 << 18
 #: A batch of documents tells the words that it has so many times.
 RARE = 3
-#: Pre-tokens in a worker's cache at most; then it starts anew from tier one.
-REMEMBERED = 500_000
+#: Pre-tokens in each of a worker's two tables at most: when the newer one is full it becomes the older
+#: one, from which pre-tokens that are met again are carried over, and a new one starts from tier one.
+REMEMBERED = 400_000
 #: Characters of a pre-token that is remembered; with ``REMEMBERED`` this bounds the cache.
 LONGEST = 256
 LIMIT = 512
@@ -59,7 +60,7 @@ class Counter:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.frequent = dict(zip(frequent[0], frequent[1]))
-        self.lengths = dict(self.frequent)
+        self.lengths, self.older = dict(self.frequent), {}
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and the number of special tokens that part it."""
@@ -78,9 +79,11 @@ class Counter:
         found = [self.pieces(t) for t in texts]
         new = self.unknown(found)
         if len(self.lengths) + len(new) > REMEMBERED + len(self.frequent):
-            self.lengths = dict(self.frequent)
+            self.older, self.lengths = self.lengths, dict(self.frequent)
             new = self.unknown(found)
-        self.learn(list(new))
+        again = new & self.older.keys()
+        self.lengths.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(list(new - again))
         length = self.lengths.__getitem__
         out = [sum(map(length, pieces)) + special for pieces, special in found]
         for piece in new:

@@ -181,6 +181,11 @@ def test_scan(spark, tmp_path):
     got = {r.name: r for r in rows.collect()}
     assert set(got) == {"d", "e", "f.txt", "link"} and got["f.txt"].size == 5 and got["d"].directory
     assert got["f.txt"].parent_id == got["d"].id and got["link"].attributes & 0x400
+    (tmp_path / "d" / "e" / "g" / "h").mkdir(parents=True)
+    (tmp_path / "d" / "e" / "g" / "h" / "deep.txt").write_text("1")
+    rows, _ = scan.scan(spark, [str(tmp_path)])
+    got = sorted(r.name for r in rows.collect())
+    assert got == sorted(["d", "e", "f.txt", "g", "h", "deep.txt", "link"])
     both, failed = scan.build_volumes(spark, {"A": str(tmp_path), "B": "/none"}, lambda root: scan.scan(spark, [root])[0] if root != "/none" else 1 / 0)
     assert {r.volume for r in both.select("volume").distinct().collect()} == {"A"} and set(failed) == {"B"}
 

@@ -65,20 +65,22 @@ def derive_paths(nodes: DataFrame, root_id: int, root_path: str) -> DataFrame:
     plain = nodes.select("id", "parent_id", "name").filter(F.col("id") != root_id)
     kind = F.when(F.col("parent_id") == root_id, "top")
     state = plain.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.lit(1).alias("steps"), kind.alias("kind"))
-    state = written(state, "paths")
-    spark, arrived, away = state.sparkSession, state.filter("kind is not null"), state.filter("kind is null")
+    state = written(state, "paths", by="kind")
+    arrived, away = state.filter("kind is not null"), state.filter("kind is null")
     tables, rounds = [state], 0
     while rounds < MAX_DEPTH.bit_length() and not away.isEmpty():
-        there = arrived.union(away).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("steps").alias("more"), F.col("kind").alias("found"))
+        there = arrived.unionByName(away).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("steps").alias("more"), F.col("kind").alias("found"))
+        # What has arrived is cut to what is pointed to first; when few are left, that needs no shuffle.
+        there = there.join(away.select("up").distinct(), "up", "left_semi")
         met = away.drop("kind").join(there, "up", "left")
         missing = F.col("next").isNull() & F.col("above").isNull()
         moved = met.select(
             "id", F.coalesce("next", "up").alias("up"), F.when(missing, F.col("path")).otherwise(F.concat_ws("\\", "above", "path")).alias("path"),
             (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.when(missing, "lost").otherwise(F.col("found")).alias("kind"),
         )
-        tables.append(written(moved, "paths"))
+        tables.append(written(moved, "paths", by="kind"))
         away = tables[-1].filter("kind is null")
-        arrived = spark.read.schema(state.schema).parquet(*[t.shoal_path for t in tables]).filter("kind is not null")
+        arrived = arrived.unionByName(tables[-1].filter("kind is not null"))
         rounds += 1
     deep = F.col("steps") > MAX_DEPTH
     above = F.when(F.col("kind") == "lost", f"{root_path}\\{ORPHANS}\\").otherwise(root_path + "\\")

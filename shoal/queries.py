@@ -244,22 +244,29 @@ dupe_query("dupe_name_size", "name-size", "lower(name), size")
 
 @query("path_derivation")
 def _(spark, sf_dir):
-    nodes = V.tree_nodes(spark, sf_dir).select("id", "parent_id", "name").union(V.odd_nodes(spark, sf_dir))
-    return hierarchy.derive_paths(nodes, 1, "D:")
+    return hierarchy.derive_paths(V.tree_nodes(spark, sf_dir), 1, "D:")
 
 
-sql("path_derivation", "tree", "odd", select="""
-  , n as (select id, parent_id, name from tree union all select * from odd),
-  c as (select id, 'D:' || chr(92) || name as path from n where parent_id = 1),
+sql("path_derivation", "tree", select="""
+  , c as (select id, 'D:' || chr(92) || name as path from tree where parent_id = 1),
   o as (select t.id, c.path || chr(92) || t.name as path from tree t join c on t.parent_id = c.id),
-  l as (select t.id, o.path || chr(92) || t.name as path from tree t join o on t.parent_id = o.id),
-  lost as (select id, 'D:' || chr(92) || '$OrphanFiles' || chr(92) || name as path from odd where parent_id between 6000000000 and 6099999999),
+  l as (select t.id, o.path || chr(92) || t.name as path from tree t join o on t.parent_id = o.id)
+  select * from c union all select * from o union all select * from l""")
+
+
+@query("path_derivation_odd")
+def _(spark, sf_dir):
+    """Strays, rings and deep chains."""
+    return hierarchy.derive_paths(V.odd_nodes(spark, sf_dir), 1, "D:")
+
+
+sql("path_derivation_odd", "odd", select="""
+  , lost as (select id, 'D:' || chr(92) || '$OrphanFiles' || chr(92) || name as path from odd where parent_id between 6000000000 and 6099999999),
   below as (select t.id, x.path || chr(92) || t.name as path from odd t join lost x on t.parent_id = x.id),
   ring as (select id, 'D:' || chr(92) || '$Cycle' || chr(92) || name as path from odd where id between 7000000000 and 7999999999),
   chain as (select id, 'D:' || chr(92) || array_to_string(list_transform(
       range((id - 8000000000) // 40 * 40, id - 8000000000 + 1), lambda i: 'deep_' || i), chr(92)) as path from odd where id >= 8000000000)
-  select * from (select * from c where id < 6000000000) union all select * from o union all select * from l union all select * from lost
-  union all select * from below union all select * from ring union all select * from chain""")
+  select * from lost union all select * from below union all select * from ring union all select * from chain""")
 
 
 @query("affected_descendants")

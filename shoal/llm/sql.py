@@ -102,6 +102,35 @@ select doc_id, case when text is null then 0 else n_lines end as n_lines, n_remo
 from d join kept using (doc_id)
 """
 
+OP3_PASSAGES = r"""
+with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i from d),
+worded as (select * from (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from lines) where n > 0),
+placed as (select *, sum(n) over (partition by doc_id order by i rows unbounded preceding)::bigint as done from worded),
+framed as (
+  select doc_id,
+    case when sum(n) over ahead >= 50 then {'a': min(i) over ahead, 'b': max(i) over ahead, 'k': list(line) over ahead} end as x,
+    case when sum(n) over behind >= 50 then {'a': min(i) over behind, 'b': max(i) over behind, 'k': list(line) over behind} end as y
+  from (select *, done - n as begun from placed)
+  window ahead as (partition by doc_id order by begun range between current row and 49 following),
+    behind as (partition by doc_id order by done range between 49 preceding and current row)),
+runs as (
+  select distinct doc_id, r.a as a, r.b as b, array_to_string(r.k, chr(10)) as k
+  from (select doc_id, unnest([x, y]) as r from framed) where r is not null),
+ranked as (
+  select *, count(*) over (partition by k) as times, first_value(doc_id) over w as first_id, first_value(a) over w as first_a, first_value(b) over w as first_b
+  from runs window w as (partition by k order by doc_id, a, b)),
+spans as (
+  select doc_id, case when doc_id = first_id then greatest(a, first_b + 1) else a end as a, b
+  from ranked where times > 1 and not (doc_id = first_id and a = first_a)),
+gone as (select distinct doc_id, unnest(range(a, b + 1)) as i from spans where a <= b),
+kept as (
+  select doc_id, string_agg(line, chr(10) order by i) filter (where g is null) as t, count(*) as n_lines, count(g) as n_removed
+  from (select lines.*, gone.i as g from lines left join gone using (doc_id, i)) group by doc_id)
+select doc_id, case when text is null then 0 else n_lines end as n_lines, n_removed, case when text is null then null else coalesce(t, '') end as text
+from d join kept using (doc_id)
+"""
+
 OP6 = r"""
 with d as (
   select doc_id, coalesce('s' || source, 't') as skey,
@@ -166,6 +195,7 @@ from p left join best using (payload_digest)
 ORACLE_SQL = {
     "op1_url_filter": OP1,
     "op3_line_dedup": OP3,
+    "op3_shared_passages": OP3_PASSAGES,
     "op6_mixing": OP6,
     "op7_exact_dedup": OP7,
     "op9_warc": OP9,

@@ -5,12 +5,17 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by a local session that names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
 
+#: Has Spark delete a query's shuffles when it ends; else they stay until the driver collects what holds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).  A cluster must
@@ -43,11 +48,17 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     which gets files of its own.
 
     This cuts the lineage: a lost executor costs a reread of Parquet files and
-    never a second pass over what made them.
+    never a second pass over what made them.  The shuffles that made them are deleted as soon as
+    the table is there.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.shoal_path = path
     return out
@@ -63,9 +74,27 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffles of plans that nothing holds any more."""
+    """Let Spark's cleaner delete the shuffles of plans that nothing holds any more, and give the driver's free
+    memory back.  Events of ended queries hold their plans until every listener has had them, so those go first."""
     gc.collect()
+    with suppress(Py4JError):  # a bus that is late holds some shuffles longer, no more
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """Have the driver's JVM return freed native memory (the compiler's, mostly) to the system, where it can; what it said."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    with suppress(Py4JError):
+        # The server's own class is not open to calls from outside; its interface is.
+        kinds = [jvm.java.lang.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        types, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(kinds):
+            types[i] = kind
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def drop_tables(spark: SparkSession) -> None:

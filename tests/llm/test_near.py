@@ -91,3 +91,62 @@ def test_parity_bounds_the_difference():
         b = set(rng.sample(sorted(a), rng.randrange(len(a) + 1))) | {rng.getrandbits(64) for _ in range(rng.randrange(300))}
         bits = [near.parity(np.array(sorted(x), np.uint64)).view(np.uint64).tolist() for x in (a, b)]
         assert sum((x ^ y).bit_count() for x, y in zip(*bits)) <= len(a ^ b)
+
+
+def tables_of(spark):
+    """Names of the tables that are there."""
+    from pathlib import Path
+
+    from shoal.tables import session_dir
+
+    return sorted(p.name.rpartition("-")[0] for p in Path(session_dir(spark).removeprefix("file:")).glob("*"))
+
+
+def families(spark):
+    rng = random.Random(26)
+    texts = []
+    for _ in range(5):
+        words = words_like(rng, 80).split()
+        for i in range(25):
+            texts.append(" ".join([*words[:i], f"v{i}", *words[i + 1 :], *[f"w{i}x{j}" for j in range(i % 12)]]))
+    return frame(spark, texts)
+
+
+def test_pairs_are_verified_in_parts(spark, monkeypatch):
+    """However few pairs are verified at a time, the groups are the same; shuffles and tables of one part go before the next."""
+    df = families(spark)
+    want = plain_groups([(r.doc_id, r.text) for r in df.collect()])
+    monkeypatch.setattr(near, "LEAST_PAIRS", 40)
+    monkeypatch.setattr(near, "PAIRS_A_TEXT", 0.2)
+    parts, verified = [], near.Search.verified
+    monkeypatch.setattr(near.Search, "verified", staticmethod(lambda *a: parts.append(a[3]) or verified(*a)))
+    assert sorted(map(tuple, near.groups(df).collect()), key=str) == want
+    assert max(parts) > 1
+
+
+def test_prefixes_go_before_texts_move(spark):
+    """The table of prefix shingles is a good part of the input: it is deleted when the buckets are made, and each
+    part of the buckets is made of its own shingles alone."""
+    from shoal.tables import drop_tables
+
+    drop_tables(spark)
+    seen, connect = [], near.Search.connect
+    near.Search.connect = lambda self, pairs: seen.append(tables_of(spark)) or connect(self, pairs)
+    try:
+        near.keep_one(families(spark)).collect()
+    finally:
+        near.Search.connect = connect
+    assert all("near" not in s for s in seen) and seen[0].count("near-buckets") == near.PARTS
+    assert "near-buckets" not in tables_of(spark)
+
+
+def test_shuffles_go_with_the_write(spark):
+    """A table's shuffles are gone when it is written, whether or not the driver has collected what held them."""
+    from shoal import tables
+
+    def files():
+        return spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+
+    before = files()
+    tables.written(spark.range(20000).repartition(7).groupBy("id").count(), "released")
+    assert files() <= before

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, as_given, free_names, row_hash, text_or_empty, written
+from .shared import WORD, as_given, discard, free_names, release, row_hash, text_or_empty, written
 
 #: Rows that one window task gets at most, about.
 ROWS_PER_BUCKET = 256
@@ -155,6 +155,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, block_words: in
     Per shard: shard, skey, blocks, seats (cumulative over shards).
     """
     sizes = sized(docs, seed, key)
+    release(docs.sparkSession)
     seats = written(quotas(targets(sizes, weights, max_repeat), block_words, shards, max_repeat), "mix-seats")
     per = seats.groupBy("skey", "source_size", "target", "blocks").agg(F.sort_array(F.collect_list("seats")).alias("ends"))
     last = F.element_at("ends", -1)
@@ -169,7 +170,10 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, block_words: in
     out = out.withColumn("block", F.floor(F.col("pos") / block_words))
     first = F.when(F.col("taken") > 0, shard_of(F.lit(0), F.col("block"), F.col("blocks"), F.col("ends")))
     more = [] if key is None else ["key"]
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "part", "taken", first.alias("first_shard"), "block", "blocks", "ends", *more), seats
+    out = out.select("doc_id", "source", "size", "source_size", "target", "copies", "part", "taken", first.alias("first_shard"), "block", "blocks", "ends", *more)
+    release(docs.sparkSession)
+    out.shoal_parts = [sizes, seats]
+    return out, seats
 
 
 def shard_of(number: Column, block: Column, blocks: Column, ends: Column) -> Column:
@@ -202,12 +206,14 @@ def mixed(docs: DataFrame, shard: str | None = None, **options) -> DataFrame:
     groups give what their last pass takes from one row.
     """
     plan, _ = mix(docs, key=mix_key(), **options)
+    parts = plan.shoal_parts
     plan = plan.groupBy("key", "copies", "blocks", "ends").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("part").alias("part"), F.max("size").alias("size"), F.min("block").alias("block"),
         F.first("doc_id").alias("id"), F.first("source").alias("from"),
     )
     whole = F.col("part") == F.col("rows") * F.col("size")
     plan = written(plan.withColumn("whole", whole).filter("part > 0 or copies > 0").filter("size > 0"), "mix-plan")
+    discard(*parts)
     key, p, take, here, number = free_names([*docs.columns, *([shard] if shard else [])], "key", "plan", "take", "here", "number")
     known = F.struct(*[F.col(c) for c in ("copies", "blocks", "ends", "part", "size", "block", "whole")]).alias(p)
 

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from shoal.ship import ship
-from shoal.tables import LOCAL_DIR, discard, drop_tables, new_path, shared_dir, written
+from shoal.tables import LOCAL_DIR, discard, drop_tables, new_path, release, shared_dir, written
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["LOCAL_DIR", "discard", "drop_tables", "new_path", "shared_dir", "written"]
+__all__ = ["LOCAL_DIR", "discard", "drop_tables", "new_path", "release", "shared_dir", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, as_given, free_names, row_hash, text_or_empty, texts_of
+from .shared import arrow_map, as_given, free_names, release, row_hash, text_or_empty, texts_of
 
 GRAMS = (2, 3, 4, 5, 6)
 BITS = 20
@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.sha2("text", 256), "text")).alias("x"))
     rows = rows.select("doc_id", "toxic", F.col("x.text").alias("text"))
     got = arrow_map(rows, _features, "doc_id long, toxic int, found array<int>", rows=100).toArrow()
+    release(docs.sparkSession)  # the JVM has sent its copy
     order = np.lexsort((got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()))
     y = got.column("toxic").to_numpy()[order].astype(np.int64)
     found = got.column("found")

@@ -1,0 +1,22 @@
+"""What the driver and the shared folder hold on to between steps."""
+
+from pyspark.sql import functions as F
+
+from shoal import tables
+from shoal.llm import mixing
+from tests.llm.test_near import tables_of
+
+
+def test_mix_leaves_only_its_plan(spark, monkeypatch):
+    """Sizes and seats go before texts move, and each step begins with the driver's garbage collected."""
+    released = []
+    monkeypatch.setattr(mixing, "release", lambda s: released.append(tables_of(spark)) or tables.release(s))
+    tables.drop_tables(spark)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("word "), (F.col("id") % 40).cast("int")).alias("text"))
+    out = mixing.mixed(docs)
+    assert tables_of(spark) == ["mix-plan"] and released == [["mix-sizes"], ["mix-seats", "mix-sizes"]]
+    assert abs(sum(len(r.text.split()) for r in out.collect()) - sum(i % 40 for i in range(400))) <= 16 * 3
+
+
+def test_driver_gives_native_memory_back(spark):
+    assert "Trim native heap" in tables.trim(spark)
